@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import math
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +19,20 @@ COMMON = 256
 _COUNTERS = 65_536
 
 
-_WORD = re.compile("[a-z0-9_]+")
+#: The characters of words, and an odd base with its inverse modulo 2**64.
+_IN_WORD = np.isin(np.arange(256), np.frombuffer(b"abcdefghijklmnopqrstuvwxyz0123456789_", dtype=np.uint8))
+_BASE = 0x9E3779B97F4A7C15
+_INVERSE = pow(_BASE, -1, 2**64)
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo 2**64."""
+    if base not in _powers or len(_powers[base]) < n:
+        x = np.full(max(n, 1 << 19), base, dtype=np.uint64)
+        x[0] = 1
+        _powers[base] = np.multiply.accumulate(x)
+    return _powers[base][:n]
 
 
 def _mixed(x: np.ndarray, key: int) -> np.ndarray:
@@ -31,23 +43,40 @@ def _mixed(x: np.ndarray, key: int) -> np.ndarray:
     return x
 
 
-def shingles(texts: list[str], size: int, min_words: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """64-bit hashes of each `size` consecutive words (runs of a-z, 0-9 and `_` in the lower-cased
-    text) of the texts, end to end: the distinct ones of each text, their counts, and how many each
-    text has; texts of fewer than `min_words` words, or of `size`, have none."""
-    found = [_WORD.findall(t.lower()) if t else [] for t in texts]
-    lengths = np.fromiter(map(len, found), dtype=np.int64, count=len(found))
-    flat = np.array([w for f in found for w in f], dtype=object)
-    if len(flat) < size:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(texts), np.int64)
-    codes, distinct = pd.factorize(flat)
-    h = pd.util.hash_array(np.asarray(distinct, dtype=object), categorize=False)[codes]
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of the texts, end to end, and how many each text has. Words are
+    runs of a-z, 0-9 and `_` in the lower-cased text; their hashes are differences of one prefix
+    sum over all characters."""
+    coded = [t.lower().encode("utf-8", "replace") if t else b"" for t in texts]
+    raw = np.frombuffer(b" ".join(coded) + b" ", dtype=np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, coded), dtype=np.int64, count=len(coded)) + 1)
+    inside = np.zeros(len(raw) + 1, dtype=np.int8)
+    inside[1:] = _IN_WORD[raw]
+    edge = np.diff(inside)
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    total = np.zeros(len(raw) + 1, dtype=np.uint64)
+    np.cumsum(raw * _power(_BASE, len(raw)), out=total[1:])
+    h = (total[end] - total[begin]) * _power(_INVERSE, len(raw))[begin]
+    return h, np.diff(np.searchsorted(begin, ends), prepend=0)
+
+
+def shingles(texts: list[str], size: int, min_words: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of each `size` consecutive words of the texts, end to end with repeats, and the
+    text of each; texts of fewer than `min_words` words, or of `size`, have none."""
+    h, lengths = word_hashes(texts)
+    if len(h) < size:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
     x = np.zeros(len(h) - size + 1, dtype=np.uint64)
     for k in range(size):
         x = _mixed(x + h[k : k + len(x)], k + 1)
     owner = np.repeat(np.arange(len(texts)), lengths)
-    inside = (owner[: len(x)] == owner[size - 1 :]) & (lengths[owner[: len(x)]] >= min_words)
-    x, owner = x[inside].view(np.int64), owner[: len(x)][inside]
+    kept = (owner[: len(x)] == owner[size - 1 :]) & (lengths[owner[: len(x)]] >= min_words)
+    return x[kept].view(np.int64), owner[: len(x)][kept]
+
+
+def distinct_shingles(texts: list[str], size: int, min_words: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, sorted, their counts, and how many each text has."""
+    x, owner = shingles(texts, size, min_words)
     order = np.lexsort((x, owner))
     x, owner = x[order], owner[order]
     first = np.ones(len(x), dtype=bool)
@@ -66,9 +95,9 @@ def common_shingles(texts: DataFrame, size: int, min_words: int) -> tuple[dict[i
     def count_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts, n = np.zeros(_COUNTERS, dtype=np.int64), 0
         for batch in batches:
-            s, _, each = shingles(batch["text"].tolist(), size, min_words)
-            counts += np.bincount(s.view(np.uint64) % np.uint64(_COUNTERS), minlength=_COUNTERS)
-            n += int((each > 0).sum())
+            s, owner = shingles(batch["text"].tolist(), size, min_words)
+            counts += np.bincount(s & (_COUNTERS - 1), minlength=_COUNTERS)
+            n += len(np.unique(owner))
         slot = np.flatnonzero(counts)
         yield pd.DataFrame({"slot": np.append(slot, -1), "n": np.append(counts[slot], n)})
 
@@ -81,9 +110,10 @@ def common_shingles(texts: DataFrame, size: int, min_words: int) -> tuple[dict[i
 
     def count_exactly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            s, _, _ = shingles(batch["text"].tolist(), size, min_words)
-            s, n = np.unique(s[full[s.view(np.uint64) % np.uint64(_COUNTERS)]], return_counts=True)
-            yield pd.DataFrame({"s": s, "n": n})
+            s, owner = shingles(batch["text"].tolist(), size, min_words)
+            kept = full[s & (_COUNTERS - 1)]
+            each = pd.DataFrame({"s": s[kept], "owner": owner[kept]}).drop_duplicates()
+            yield each.groupby("s", as_index=False).agg(n=("owner", "size"))
 
     exact = texts.select("text").mapInPandas(count_exactly, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     return {r.s: r.n for r in exact.collect()}, n_texts
@@ -105,33 +135,48 @@ class Weights:
         return (1 + np.log(tf)) * idf
 
 
-_EXP = None
+_quantiles: list[np.ndarray] = []
 
 
-def _exponential() -> np.ndarray:
-    """-ln(u) at the middle of 65,536 equal parts of (0, 1)."""
-    global _EXP
-    if _EXP is None:
-        _EXP = (-np.log((np.arange(65_536) + 0.5) / 65_536)).astype(np.float32)
-    return _EXP
+def _gamma() -> np.ndarray:
+    """Quantiles of the Gamma(2, 1) distribution in the middle of 65,536 equal parts of (0, 1)."""
+    if not _quantiles:
+        u = (np.arange(65_536) + 0.5) / 65_536
+        x = np.sqrt(2 * u) + u**8 * 8
+        for _ in range(60):
+            x = np.maximum(x - (1 - np.exp(-x) * (1 + x) - u) / np.maximum(x * np.exp(-x), 1e-12), x / 2)
+        _quantiles.append(x.astype(np.float32))
+    return _quantiles[0]
 
 
 def samples(s: np.ndarray, weight: np.ndarray, starts: np.ndarray, n_samples: int) -> np.ndarray:
     """Improved consistent weighted samples (Ioffe 2010) of the sets that begin at `starts`: an
     n_samples x sets array of 32-bit hashes of the sampled (shingle, t). Two sets agree in a sample
     with the probability of their weighted Jaccard similarity."""
-    exp, x, log_w = _exponential(), s.astype(np.uint64), np.log(weight).astype(np.float32)
-    out, low = np.empty((n_samples, len(starts)), dtype=np.uint32), np.uint64(0xFFFF)
+    gamma, log_w = _gamma(), np.log(weight).astype(np.float32)
+    low, high = s.astype(np.uint64).astype(np.uint32), (s.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
+    out, both = np.empty((n_samples, len(starts)), dtype=np.uint32), np.empty((len(s), 2), dtype=np.uint32)
     for k in range(n_samples):
-        h = _mixed(x, 0x2545F4914F6CDD1D * (k + 1) & 0xFFFFFFFFFFFFFFFF)
-        r = exp[h & low] + exp[(h >> np.uint64(16)) & low]
-        c = exp[(h >> np.uint64(32)) & low] + exp[h >> np.uint64(48)]
-        g = h * np.uint64(0xBF58476D1CE4E5B9)
-        beta = (g >> np.uint64(40)).astype(np.float32) * np.float32(2**-24)
+        key = np.uint32(0x9E3779B1 * (k + 1) & 0xFFFFFFFF)
+        h = (low ^ key) * np.uint32(0x85EBCA6B)
+        h ^= h >> np.uint32(15)
+        h += high
+        h *= np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(16)
+        g = (h + key) * np.uint32(0x27D4EB2F)
+        g ^= g >> np.uint32(15)
+        fields = gamma[h.view(np.uint16)]
+        r, c = fields[::2], fields[1::2]
+        beta = g.astype(np.float32) * np.float32(2**-32)
         t = np.floor(log_w / r + beta)
-        a = c * np.exp(-r * (t - beta + 1))
-        key = (a.view(np.uint32).astype(np.uint64) << np.uint64(32)) | ((g ^ (t.astype(np.int64).astype(np.uint64) * np.uint64(0x9E3779B1))) & np.uint64(0xFFFFFFFF))
-        out[k] = np.minimum.reduceat(key, starts).astype(np.uint32)
+        beta -= t
+        beta -= 1
+        beta *= r
+        np.exp(beta, out=beta)
+        beta *= c
+        both[:, 1] = beta.view(np.uint32)
+        np.bitwise_xor(g * np.uint32(0x165667B1), t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1), out=both[:, 0])
+        out[k] = np.minimum.reduceat(both.view(np.uint64).ravel(), starts).astype(np.uint32)
     return out
 
 
@@ -154,9 +199,9 @@ def near_duplicates(
     similarity: float = 0.8,
     plain_similarity: float = 0.0,
     min_words: int = 12,
-    bands: int = 22,
+    bands: int = 20,
     rows: int = 3,
-    bucket: int = 500,
+    bucket: int = 20,
 ) -> NearDuplicates:
     """Pairs of different texts of the same source whose weighted Jaccard similarity over TF-IDF
     shingles is at least `similarity`, and whose plain Jaccard similarity of the shingle sets is at
@@ -184,7 +229,7 @@ def near_duplicates(
         for texts in batches:
             out: list = []
             for i in range(0, len(texts), 500):
-                s, tf, each = shingles(texts.iloc[i : i + 500].tolist(), shingle_words, min_words)
+                s, tf, each = distinct_shingles(texts.iloc[i : i + 500].tolist(), shingle_words, min_words)
                 some = np.flatnonzero(each)
                 part: list = [None] * len(each)
                 if len(some):
@@ -206,7 +251,7 @@ def near_duplicates(
     classes = cut_lineage(classes.withColumn("c", F.xxhash64("source", "class_id", "h1", "h2")))
     members = signed.select("source", "id", "h1", "h2").distinct().join(classes.select("source", "h1", "h2", "class_id"), ["source", "h1", "h2"]).select("source", "id", "class_id")
 
-    banded = classes.select("c", F.xxhash64("source").alias("x"), F.explode("keys").alias("k")).select("c", F.expr("k ^ x").alias("k"))
+    banded = classes.select("c", F.xxhash64("source").alias("x"), F.explode("keys").alias("k")).select("c", F.expr("k ^ x").alias("k")).repartition("k")
     hot = cut_lineage(banded.groupBy("k").count().where(F.col("count") > bucket).select("k"))
     any_hot = hot.limit(1).count() > 0
     cool = banded.join(hot, "k", "left_anti") if any_hot else banded
@@ -215,7 +260,7 @@ def near_duplicates(
     if any_hot:
         least = max(plain_similarity, similarity / 4)  # weights lie between 1 and 2 for each count
         crowd = banded.join(hot, "k", "left_semi").select("c").distinct()
-        pairs = pairs.union(_prefix_pairs(texts.join(crowd, "c", "left_semi"), shingle_words, least, shared))
+        pairs = pairs.union(_prefix_pairs(texts.join(crowd, "c", "left_semi"), shingle_words, least))
     pairs = cut_lineage(pairs.distinct())
 
     # texts travel instead of their shingles: they compress
@@ -227,7 +272,7 @@ def near_duplicates(
 
     @F.pandas_udf(T.StructType([T.StructField("weighted", T.DoubleType()), T.StructField("plain", T.DoubleType())]))
     def compare(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-        s, tf, each = shingles([*left, *right], shingle_words)
+        s, tf, each = distinct_shingles([*left, *right], shingle_words)
         weight, ends, n = shared.value.of(s, tf), np.cumsum(each), len(left)
         out = np.zeros((n, 2))
         for i in range(n):
@@ -243,24 +288,25 @@ def near_duplicates(
     return NearDuplicates(members, links.groupBy("source", "class_a", "class_b").agg(F.max("weighted").alias("weighted"), F.max("plain").alias("plain")))
 
 
-def _prefix_pairs(texts: DataFrame, size: int, least: float, shared) -> DataFrame:
+def _prefix_pairs(texts: DataFrame, size: int, least: float) -> DataFrame:
     """Pairs of texts that may have a plain Jaccard similarity of at least `least`: each text's
     shingles are ordered from rare to common, and two such texts share one among their first
     n - ceil(least n) + 1."""
 
-    def prefix(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            s, _, each = shingles(batch["text"].tolist(), size)
-            owner = np.repeat(np.arange(len(each)), each)
-            order = np.lexsort((s, -shared.value.of(s, np.ones(len(s))), owner))
-            place = np.arange(len(s)) - np.repeat(np.cumsum(each) - each, each)
-            keep = place <= each[owner] - np.ceil(least * each[owner] - 1e-9)
-            rows = owner[keep]
-            yield pd.DataFrame({"c": batch["c"].to_numpy()[rows], "source": batch["source"].to_numpy()[rows], "n": each[rows], "s": s[order][keep]})
-
-    rare = texts.select("c", "source", "text").mapInPandas(prefix, "c long, source string, n long, s long").distinct()
+            s, _, each = distinct_shingles(batch["text"].tolist(), size)
+            yield pd.DataFrame({"c": np.repeat(batch["c"].to_numpy(), each), "source": np.repeat(batch["source"].to_numpy(), each), "n": np.repeat(each, each), "s": s})
+
+    every = texts.select("c", "source", "text").dropDuplicates(["c"]).mapInPandas(explode, "c long, source string, n long, s long")
+    every = written(every)
+    df = every.groupBy("source", "s").agg(F.count("*").alias("df")).where("df > 1")
+    place = F.row_number().over(Window.partitionBy("c").orderBy(F.coalesce("df", F.lit(1)), "s"))
+    ordered = every.join(df, ["source", "s"], "left").withColumn("place", place)
+    rare = cut_lineage(ordered.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1) & F.col("df").isNotNull()).select("c", "source", "n", "s"))
     other = rare.select(F.col("c").alias("b"), F.col("n").alias("m"), "s", "source")
-    return rare.withColumnRenamed("c", "a").join(other, ["s", "source"]).where((F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m"))).select("a", "b")
+    close = (F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m"))
+    return rare.withColumnRenamed("c", "a").join(other, ["s", "source"]).where(close).select("a", "b")
 
 
 def similar_pairs(found: NearDuplicates) -> DataFrame:
