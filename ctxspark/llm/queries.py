@@ -9,6 +9,7 @@ from ctxspark.llm.mixing import Mix, mix_sources
 from ctxspark.llm.neardup import NearDuplicates, near_duplicates, similar_pairs
 from ctxspark.llm.packing import fill_containers
 from ctxspark.llm.splitting import split_oversized
+from ctxspark.llm.stuffing import stuffing
 from ctxspark.llm.tokens import token_count
 from ctxspark.operators.hierarchy import components
 from ctxspark.runtime import cut_lineage, table
@@ -105,6 +106,15 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mix(spark, sf_dir).shares
 
 
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Characters of links and of incoherent words in each document, and their share."""
+    return stuffing(table(spark, sf_dir, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_shares(spark, sf_dir).where("stuffed").select("doc_id").distinct()
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_groups": p1_groups,
@@ -115,6 +125,8 @@ QUERIES = {
     "p7_mix": p7_mix,
     "p7_documents": p7_documents,
     "p7_shares": p7_shares,
+    "p8_found": p8_found,
+    "p8_shares": p8_shares,
 }
 
 ORACLE = {
