@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ctxspark.llm.credentials import credentials, redacted
 from ctxspark.llm.mixing import Mix, mix_sources
 from ctxspark.llm.neardup import NearDuplicates, near_duplicates, similar_pairs
 from ctxspark.llm.packing import fill_containers
@@ -59,6 +60,22 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece.select("chunk_id", "p.piece_no", "p.start_offset", "p.end_offset", "p.token_count", "p.cut", F.array_join("p.heading_path", " > ").alias("heading_path"), text.alias("content"))
 
 
+def _credentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda name, key: table(spark, sf_dir, name).select(F.lit(name).alias("source_table"), F.col(key).alias("record_id"), "content")
+    return credentials(part("knowledge_chunks", "chunk_id").union(part("evidence", "id")), "content").where("size(spans) > 0")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _credentials(spark, sf_dir).select("source_table", "record_id", F.explode("spans").alias("x"))
+    return found.select("source_table", "record_id", "x.start_pos", "x.n_chars").distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts that hold credentials, with those values replaced."""
+    found = _credentials(spark, sf_dir)
+    return found.select("source_table", "record_id", F.size("spans").alias("n_spans"), redacted(F.col("content"), F.col("spans")).alias("redacted")).distinct()
+
+
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", "source", token_count(F.col("text")).alias("n_tokens"))
 
@@ -120,6 +137,8 @@ QUERIES = {
     "p1_groups": p1_groups,
     "p3_found": p3_found,
     "p3_pieces": p3_pieces,
+    "p4_found": p4_found,
+    "p4_redacted": p4_redacted,
     "p6_containers": p6_containers,
     "p6_filling": p6_filling,
     "p7_mix": p7_mix,
