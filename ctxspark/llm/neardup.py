@@ -16,6 +16,8 @@ from ctxspark.runtime import cut_lineage, written
 
 #: A shingle is common if at least one text in so many holds it; others have the full weight.
 COMMON = 256
+#: What fewer texts hold is not common in a small collection either.
+_FEW = 16
 _COUNTERS = 65_536
 
 
@@ -104,7 +106,7 @@ def common_shingles(texts: DataFrame, size: int, min_words: int) -> tuple[dict[i
     slots = texts.select("text").mapInPandas(count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
     rows = slots.toPandas()  # at most _COUNTERS + 1 rows
     n_texts = int(rows.loc[rows["slot"] == -1, "n"].sum())
-    least = max(2, math.ceil(n_texts / COMMON))
+    least = max(_FEW, math.ceil(n_texts / COMMON))
     full = np.zeros(_COUNTERS, dtype=bool)
     full[rows.loc[(rows["slot"] >= 0) & (rows["n"] >= least), "slot"].to_numpy(dtype=np.int64)] = True
 
