@@ -74,13 +74,14 @@ def refusal(path: Column, length: Column, head: Column) -> Column:
 def scan_files(spark: SparkSession, root: str, pattern: str | None = None) -> DataFrame:
     """All files below `root`: rel_path, size, mtime, reason (null if indexable), source_type,
     language, content_hash (SHA-256 of the bytes) and text (UTF-8, undecodable bytes replaced; null
-    if not indexable)."""
+    if not indexable). Spark's file source itself leaves out empty files and names that begin with
+    a dot or an underscore."""
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
     files = (read.option("pathGlobFilter", pattern) if pattern else read).load(root)
     rel = F.regexp_replace(F.col("path"), r"^.*?\Q" + root.rstrip("/") + r"/\E", "")
     named = files.select(rel.alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
     judged = named.withColumn("reason", refusal(F.col("rel_path"), F.col("size"), F.hex(F.substring("content", 1, 512))))
-    text = F.when(F.col("reason").isNull(), F.decode("content", "UTF-8"))
+    text = F.when(F.col("reason").isNull(), F.make_valid_utf8(F.col("content").cast("string")))
     return judged.select(
         "rel_path", "size", "mtime", "reason", source_type(F.col("rel_path")).alias("source_type"), language(F.col("rel_path")).alias("language"), F.sha2("content", 256).alias("content_hash"), text.alias("text")
     )
