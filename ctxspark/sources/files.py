@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Directories and files that are never indexed, and the largest file.
-SKIPPED_DIRS = ".git node_modules .venv venv env dist build target coverage .coverage vendor __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox .eggs .memory-engine".split()
+SKIPPED_DIRS = ".git node_modules .venv venv env dist build target coverage .coverage vendor __pycache__ .mypy_cache .pytest_cache .ruff_cache .tox .eggs".split()
 SECRET_DIRS = ".aws .gcp .azure secrets private .ssh credentials".split()
 SECRET_FILES = ".env .env.local .env.production .env.staging id_rsa id_ed25519 id_ecdsa secrets.json credentials.json service_account.json .DS_Store Thumbs.db".split()
 SECRET_ENDINGS = "pem key p12 pfx".split()

@@ -152,3 +152,23 @@ def test_entry_is_wired(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries()) and len(e.queries()) > 40
     assert e.entry(spark).count() > 0
+
+
+def test_contexts(spark):
+    from ctxspark.operators import context
+
+    notes = spark.createDataFrame(
+        [("a", "p", "module", "Ferry loader", "loads the ferry " * 40, ["ferry"], "ferry.loader", 1, 0.5, 0.5, datetime(2024, 8, 1)), ("b", "p", "module", "Kiln", "short", None, None, None, None, None, None), ("c", "q", "module", "Ferry", "x", [], None, 0, 0.9, 0.9, datetime(2024, 8, 1)), ("d", "p", "outcome", "Ferry", None, [], None, 0, 0.9, 0.9, datetime(2024, 8, 1))],
+        "id string, project_id string, kind string, title string, summary string, tags array<string>, module_path string, depth int, importance double, confidence double, updated_at timestamp",
+    )
+    asked = spark.createDataFrame([(1, "p", "fix the ferry loader", ["src/ferry/loader.py"]), (2, "zz", "ferry", []), (3, "p", None, None)], "request int, scope string, text string, files array<string>")
+    ranked = context.rank_notes(asked, notes, "2024-09-01")
+    got = {r.id: r for r in ranked.where("request = 1").collect()}
+    assert set(got) == {"a", "b", "d"} and got["a"]["rank"] == 1 and got["b"]["rank"] == 3 and ranked.where("request = 2").count() == 0
+    assert {r.id for r in context.note_pack(ranked.where("request = 1"), 400).collect()} == {"b"}  # a has 160 tokens, its bucket 120
+    hits = spark.createDataFrame([(1, "h1", "It loads the ferry and waits"), (1, "h2", "other words")], "request int, id string, text string")
+    assert [r.id for r in context.not_in_pack(hits, spark.createDataFrame([(1, "loads the ferry")], "request int, text string")).collect()] == ["h2"]
+    layer = lambda rows: search.postings(spark.createDataFrame(rows, "s string, i string, t string"), "s", "i", "t")
+    texts = spark.createDataFrame([("x", "x1", "ferry loader"), ("y", "y1", "ferry loader"), ("y", "y2", "ferry kiln")], "layer string, id string, text string")
+    one = context.layered_search({"x": layer([("p", "x1", "ferry loader"), ("p", "x0", "silo"), ("p", "x2", "dike")]), "y": layer([("p", "y1", "ferry loader"), ("p", "y2", "ferry kiln"), ("p", "y3", "silo"), ("p", "y4", "dike"), ("p", "y5", "weir")])}, asked, ["y", "x"], texts)
+    assert [(r.layer, r.id) for r in one.orderBy("rank").collect()] == [("y", "y1"), ("y", "y2")]
