@@ -249,19 +249,22 @@ def near_duplicates(
     signed = read.select("source", "id", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), band_keys("text").alias("keys")).where("keys is not null")
     signed = written(signed)
     # one text stands for its copies; c is its number in the joins below
-    classes = signed.groupBy("source", "h1", "h2").agg(F.min("id").alias("class_id"), F.any_value("keys").alias("keys"))
-    classes = cut_lineage(classes.withColumn("c", F.xxhash64("source", "class_id", "h1", "h2")))
-    members = signed.select("source", "id", "h1", "h2").distinct().join(classes.select("source", "h1", "h2", "class_id"), ["source", "h1", "h2"]).select("source", "id", "class_id")
+    text_key = ["source", "h1", "h2"]
+    classes = signed.groupBy(*text_key).agg(F.min("id").alias("class_id"), F.any_value("keys").alias("keys")).withColumn("c", F.xxhash64("source", "class_id", "h1", "h2"))
+    ids = signed.select("source", "id", "h1", "h2").distinct()
+    members = ids.join(ids.groupBy(*text_key).agg(F.min("id").alias("class_id")), text_key).select("source", "id", "class_id")
 
     banded = classes.select("c", F.xxhash64("source").alias("x"), F.explode("keys").alias("k")).select("c", F.expr("k ^ x").alias("k")).repartition("k")
-    hot = cut_lineage(banded.groupBy("k").count().where(F.col("count") > bucket).select("k"))
-    any_hot = hot.limit(1).count() > 0
-    cool = banded.join(hot, "k", "left_anti") if any_hot else banded
+    # buckets of one text are dropped before anything is joined; all of this shares one exchange
+    sizes = banded.groupBy("k").count().where("count > 1")
+    shared_keys = written(banded.join(sizes, "k"))
+    cool = shared_keys.where(F.col("count") <= bucket)
+    any_hot = shared_keys.where(F.col("count") > bucket).limit(1).count() > 0
     pairs = cool.select("k", F.col("c").alias("a")).join(cool.select("k", F.col("c").alias("b")), "k").where("a < b").select("a", "b")
     texts = read.select(F.xxhash64("source", "id", F.xxhash64("text"), F.hash("text")).alias("c"), "source", "id", "text")
     if any_hot:
         least = max(plain_similarity, similarity / 4)  # weights lie between 1 and 2 for each count
-        crowd = banded.join(hot, "k", "left_semi").select("c").distinct()
+        crowd = shared_keys.where(F.col("count") > bucket).select("c").distinct()
         pairs = pairs.union(_prefix_pairs(texts.join(crowd, "c", "left_semi"), shingle_words, least))
     pairs = cut_lineage(pairs.distinct())
 
