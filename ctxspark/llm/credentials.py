@@ -358,7 +358,7 @@ def spans(texts: list[str | None], model: Crf) -> list[list[tuple[int, int]]]:
             start = text.rfind("\n", 0, m.start()) + 1
             stop = text.find("\n", m.end())
             stop = len(text) if stop < 0 else stop
-            while stop < len(text) and text[m.end() : stop].rstrip("\r \t").endswith(("\\", "(", "=")):  # goes on in the next line
+            while stop < len(text) and text[m.end() : stop].rstrip("\r \t").endswith(("\\", "(", " =")):  # goes on in the next line
                 following = text.find("\n", stop + 1)
                 stop = len(text) if following < 0 else following
             tokens = lex(text, max(start, done), stop)
