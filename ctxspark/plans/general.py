@@ -125,6 +125,13 @@ ORACLE = {
     "p5_found": _P5
     + """SELECT tree, k AS node_key, CASE WHEN cur IS NULL THEN path[1] ELSE list_min(ring) END AS root_key,
   (CASE WHEN cur IS NULL THEN len(path) - 1 WHEN list_contains(ring, k) THEN -1 ELSE -2 END)::INTEGER AS depth FROM ended""",
+    "p5_paths": _P5
+    + """, placed AS (SELECT tree, k, cur, ring, CASE WHEN cur IS NULL THEN path[1] ELSE list_min(ring) END AS root,
+  CASE WHEN cur IS NULL THEN path WHEN list_contains(ring, k) THEN [k] ELSE list_slice(path, len(ring), len(path)) END AS path FROM ended)
+SELECT tree, k AS node_key, array_to_string(path, ' > ') AS path,
+  CASE WHEN cur IS NOT NULL AND list_contains(ring, k) THEN (SELECT count(*) FROM placed x WHERE x.tree = p.tree AND x.root = p.root AND x.cur IS NOT NULL) - 1
+    ELSE (SELECT count(*) FROM placed x WHERE x.tree = p.tree AND list_contains(x.path, p.k)) - 1 END AS n_descendants,
+  cur IS NOT NULL AND list_contains(ring, k) AND k = root AS back_edge FROM placed p""",
     "p5_descendants": _P5
     + """SELECT tree, anc AS ancestor, k AS descendant, (len(path) - i)::INTEGER AS distance
   FROM (SELECT tree, k, path, unnest(path) AS anc, generate_subscripts(path, 1) AS i

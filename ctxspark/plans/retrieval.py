@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxspark.functions.text import STOP_WORDS, keywords, module_prefixes, normalized, redact, symbols, token_estimate, word_set
+from ctxspark.functions.text import KEYWORD_STOPS, STOP_WORDS, keywords, module_prefixes, normalized, redact, symbols, token_estimate, word_set
 from ctxspark.operators import search
 from ctxspark.runtime import table
 
@@ -175,6 +175,16 @@ hits AS (SELECT bm.*, greatest(1, length(content) // 4)::INTEGER AS n_tokens FRO
 """
 _RUN = "SELECT request, id, rank::INTEGER AS rank, n_tokens, used, CASE WHEN {} THEN 'included' ELSE 'over_budget' END AS action FROM (SELECT *, sum(n_tokens) OVER (PARTITION BY request ORDER BY rank)::BIGINT AS used FROM hits)"
 
+_CAMEL = r"regexp_extract_all(summary, '\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b')"
+_SNAKE = r"regexp_extract_all(summary, '\b[a-z]+(?:_[a-z]+)+\b')"
+_KEYS = r"list_filter(regexp_extract_all(lower(summary), '\b[a-z]\w*\b'), lambda w: len(w) > 2 AND w NOT IN (" + ", ".join(f"'{w}'" for w in KEYWORD_STOPS) + "))"
+
+
+def _ordered(expr: str) -> str:
+    """SQL of the distinct elements of a list, in order of their first places."""
+    return f"list_reduce({expr}, lambda a, x: CASE WHEN list_contains(a, x) THEN a ELSE list_append(a, x) END, []::VARCHAR[])"
+
+
 ORACLE = {
     "tok_word_set": r"SELECT DISTINCT id, array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all(lower(title), '[\p{L}\p{M}\p{N}_]+'), lambda w: len(w) > 2))), ' ') AS words FROM memory_nodes",
     "token_estimates": "SELECT doc_id, greatest(1, length(coalesce(text, '')) // 4)::INTEGER AS n_tokens FROM documents",
@@ -185,6 +195,16 @@ ORACLE = {
     "knn_exact": "SELECT request, id, score, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, id) AS rank FROM (SELECT a.vec_id AS request, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0)) WHERE rank <= 10",
     "rrf_fuse": _INDEX
     + "SELECT request, id, score, row_number() OVER (PARTITION BY request ORDER BY score DESC, id)::INTEGER AS rank FROM (SELECT request, id, round(sum(1.0::DOUBLE / (60 + rank)), 6) AS score FROM (SELECT request, id, rank FROM bm WHERE rank <= 10 UNION ALL SELECT request, id, rank FROM bow WHERE rank <= 10) GROUP BY ALL)",
+    "request_symbols": f"""SELECT id, array_to_string(list_concat(c, list_filter(s, lambda x: NOT list_contains(c, x))), ' ') AS symbols, array_to_string(list_slice(k, 1, 20), ' ') AS keywords FROM (
+  SELECT id, {_ordered(_CAMEL)} AS c, {_ordered(_SNAKE)} AS s, {_ordered(_KEYS)} AS k FROM (SELECT DISTINCT id, summary FROM memory_nodes))""",
+    "hybrid_search": _INDEX
+    + """, lex AS (SELECT request, id, 2.0::DOUBLE / (60 + rank - 1) AS lexical FROM bm WHERE rank <= 30), vec AS (SELECT request, id, score AS vector FROM bow WHERE rank <= 30),
+merged AS (SELECT coalesce(l.request, v.request) AS request, coalesce(l.id, v.id) AS id, coalesce(lexical, 0) AS lexical, coalesce(vector, 0) AS vector FROM lex l FULL JOIN vec v ON l.request = v.request AND l.id = v.id),
+info AS (SELECT chunk_id AS id, max(content) AS content, max(source_type) AS source_type, max(CASE WHEN index_status = 'indexed' THEN 0.9 ELSE 0.2 END) AS fresh FROM knowledge_chunks GROUP BY ALL),
+worth AS (SELECT * FROM (VALUES ('adr', 1.0), ('architecture_doc', 0.95), ('api_spec', 0.9), ('readme', 0.85), ('code_file', 0.8), ('test_report', 0.75), ('manual_note', 0.7), ('task_artifact', 0.65), ('markdown', 0.7), ('code_comment', 0.65), ('git_diff', 0.6), ('runtime_log', 0.5)) t(source_type, w)),
+scored AS (SELECT request, id, content, round((0.3 * vector + 0.25 * lexical + 0.1 * fresh + 0.05 * coalesce(w, 0.5) + 0.025)::DOUBLE, 4) AS score FROM merged JOIN info USING (id) LEFT JOIN worth USING (source_type)),
+uniq AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request, left(content, 200) ORDER BY score DESC, id) AS n FROM scored) WHERE n = 1)
+SELECT request, id, score, rank FROM (SELECT request, id, score, row_number() OVER (PARTITION BY request ORDER BY score DESC, id)::INTEGER AS rank FROM uniq) WHERE rank <= 10""",
     "budget_prefix": _INDEX + _RUN.format("used <= 600"),
     "budget_overshoot": _INDEX + _RUN.format("used - n_tokens < 600"),
     "budget_greedy": _INDEX
