@@ -172,3 +172,14 @@ def test_contexts(spark):
     texts = spark.createDataFrame([("x", "x1", "ferry loader"), ("y", "y1", "ferry loader"), ("y", "y2", "ferry kiln")], "layer string, id string, text string")
     one = context.layered_search({"x": layer([("p", "x1", "ferry loader"), ("p", "x0", "silo"), ("p", "x2", "dike")]), "y": layer([("p", "y1", "ferry loader"), ("p", "y2", "ferry kiln"), ("p", "y3", "silo"), ("p", "y4", "dike"), ("p", "y5", "weir")])}, asked, ["y", "x"], texts)
     assert [(r.layer, r.id) for r in one.orderBy("rank").collect()] == [("y", "y1"), ("y", "y2")]
+
+
+def test_expiring_keys(spark, tmp_path):
+    t = datetime(2024, 1, 1)
+    schema = "k string, ts timestamp"
+    spark.createDataFrame([("a", t), ("b", t)], schema).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+    spark.createDataFrame([("b", t + timedelta(hours=10))], schema).coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+    stream = refresh.arrivals(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, 1)
+    gone = refresh.expiring(stream, "k", "ts", 3600, "0 seconds")
+    gone.writeStream.format("memory").queryName("gone").outputMode("append").option("checkpointLocation", str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    assert [(r.k, r.last_seen) for r in spark.table("gone").collect()] == [("a", t)]
