@@ -8,13 +8,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ctxspark.runtime import cut_lineage
+from ctxspark.runtime import cut_lineage, written
 
 #: Words and pairs that make up at least one in so many of all pairs have counts of their own.
 PARTS = 1 << 20
+#: Characters of the texts that are looked up together.
+GROUP_CHARS = 1 << 22
 #: Distances at which the two words of a pair are no neighbours: what a text's words give by chance.
 APART = (4, 5, 7)
 
@@ -119,14 +122,37 @@ def _neighbours(h: np.ndarray, owner: np.ndarray, apart: int = 1) -> tuple[np.nd
     return _pair(h[at], h[at + apart]), at
 
 
+def distinct_texts(texts: DataFrame) -> DataFrame:
+    """One row for each distinct text: its hashes a and b, its group g of about `GROUP_CHARS`
+    characters, its running lines, and the characters of formal lines, of link lines and in all."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        g = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            lines = [read_lines(t) for t in batch["text"]]
+            running = [x.running for x in lines]
+            size = np.fromiter(map(len, running), dtype=np.int64, count=len(running))
+            group = g + np.cumsum(size) // GROUP_CHARS
+            links, formal = np.array([x.links for x in lines], dtype=np.int64), np.array([x.formal for x in lines], dtype=np.int64)
+            yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "g": group, "running": running, "formal": formal, "links": links, "n_chars": size + formal + links})
+            g = int(group[-1]) + 1 if len(group) else g
+
+    each = texts.select("text").distinct().select("text", *_text_key("text"))
+    return written(each.mapInPandas(read, "a long, b long, g long, running string, formal long, links long, n_chars long"))
+
+
+def _text_key(text: str) -> list:
+    return [F.xxhash64(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")]
+
+
 def corpus_counts(texts: DataFrame) -> DataFrame:
-    """Counts n of the words and of the pairs of neighbours (k: their hash) over all texts; k = 0 has
-    the number of pairs. Counts are added up within each task first."""
+    """Counts n of the words and of the pairs of neighbours (k: their hash) over the running lines of
+    all texts; k = 0 has the number of pairs. Counts are added up within each task first."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys, counts, pairs = np.empty(0, np.uint64), np.empty(0, np.int64), 0
         for batch in batches:
-            h, owner, _ = tokens([read_lines(t).running for t in batch["text"] if t])
+            h, owner, _ = tokens(batch["running"].tolist())
             both, _ = _neighbours(h, owner)
             pairs += len(both)
             k, n = np.unique(np.concatenate([h, both]), return_counts=True)
@@ -137,7 +163,7 @@ def corpus_counts(texts: DataFrame) -> DataFrame:
                 keys, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
         yield pd.DataFrame({"k": np.append(keys, np.uint64(0)).view(np.int64), "n": np.append(counts, pairs)})
 
-    return texts.select("text").mapInPandas(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
+    return texts.select("running").mapInPandas(count, "k long, n long").groupBy("k").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -147,8 +173,12 @@ class Coherence:
     keys: np.ndarray
     counts: np.ndarray
     pairs: int
-    usual: float = 3.0  # median coherence of the windows of all texts
-    usual_repeated: float = 0.0  # median share of their excessively repeated pairs
+
+    @classmethod
+    def made(cls, found: pd.DataFrame, pairs: int) -> Coherence:
+        keys = found["k"].to_numpy(dtype=np.int64).view(np.uint64)
+        order = np.argsort(keys)
+        return cls(keys[order], found["n"].to_numpy(dtype=np.int64)[order], pairs)
 
     def of(self, k: np.ndarray) -> np.ndarray:
         if not len(self.keys):
@@ -157,26 +187,48 @@ class Coherence:
         return np.where(self.keys[at] == k, self.counts[at], 0)
 
 
-def learn(texts: DataFrame, window: int) -> Coherence:
-    """Counts that are at least 1 / PARTS of all pairs (at most 2 * PARTS, whatever the corpus), and
-    the median coherence of the windows of all texts, from a histogram."""
+def measured(texts: DataFrame, window: int) -> DataFrame:
+    """The windows of each text: their coherence (delta), numbers of pairs, shares of repeated pairs
+    and characters, by the counts over all texts.
+
+    Keys that make up at least 1 / PARTS of all pairs (at most 2 * PARTS, whatever the corpus) are
+    broadcast; other counts are taken as none."""
     counted = cut_lineage(corpus_counts(texts))
     pairs = int((counted.where("k = 0").agg(F.sum("n")).first()[0]) or 0)
-    known = counted.where((F.col("k") != 0) & (F.col("n") >= max(2, pairs // PARTS))).toPandas()  # bounded by 2 * PARTS
-    order = np.argsort(known["k"].to_numpy(dtype=np.int64).view(np.uint64))
-    found = Coherence(known["k"].to_numpy(dtype=np.int64).view(np.uint64)[order], known["n"].to_numpy(dtype=np.int64)[order], pairs)
-    shared = texts.sparkSession.sparkContext.broadcast(found)
+    least, counted = max(2, pairs // PARTS), counted.where("k <> 0")
+    known = counted.where(F.col("n") >= least).toPandas()  # bounded by 2 * PARTS
+    shared: Broadcast[Coherence] = texts.sparkSession.sparkContext.broadcast(Coherence.made(known, pairs))
+
+    def measure(part: pd.DataFrame, known: Coherence) -> pd.DataFrame:
+        w = windows(part["running"].tolist(), known, window)
+        ends = np.cumsum(np.bincount(w.text, minlength=len(part)))[:-1]
+        chars = np.bincount(w.window_of, weights=w.chars, minlength=len(w.text)).astype(np.int64)
+        kept = {c: part[c].to_numpy() for c in ("a", "b", "formal", "links", "n_chars")}
+        arrays = {"delta": w.delta, "pairs": w.pairs, "often": w.repeated, "chars": chars}
+        return pd.DataFrame(kept | {"words": w.words, "repeated": w.often} | {k: pd.Series(np.split(x, ends), dtype=object) for k, x in arrays.items()})
+
+    def measure_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for _, part in batch.groupby("g"):
+                yield measure(part, shared.value)
+
+    kind = "a long, b long, formal long, links long, n_chars long, words long, repeated double, delta array<double>, pairs array<long>, often array<double>, chars array<long>"
+    return written(texts.mapInPandas(measure_all, kind))
+
+
+def usual(found: DataFrame) -> tuple[float, float]:
+    """The median coherence of the windows of all texts and the median share of their excessively
+    repeated pairs, from a histogram."""
 
     def histogram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros((2, 400), dtype=np.int64)
         for batch in batches:
-            for i in range(0, len(batch), 500):
-                w = windows([read_lines(t).running for t in batch["text"].iloc[i : i + 500]], shared.value, window)
-                for k, x in enumerate((w.delta, w.repeated)):
-                    counts[k] += np.bincount(np.clip((x[w.pairs >= 8] + 10) * 20, 0, 399).astype(np.int64), minlength=400)
+            pairs = _joined(batch["pairs"])
+            for k, x in enumerate((_joined(batch["delta"]), _joined(batch["often"]))):
+                counts[k] += np.bincount(np.clip((x[pairs >= 8] + 10) * 20, 0, 399).astype(np.int64), minlength=400)
         yield pd.DataFrame({"kind": np.repeat([0, 1], 400), "bin": np.tile(np.arange(400), 2), "n": counts.ravel()})
 
-    bins = texts.select("text").mapInPandas(histogram, "kind long, bin long, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).toPandas()  # 800 rows
+    bins = found.select("pairs", "delta", "often").mapInPandas(histogram, "kind long, bin long, n long").groupBy("kind", "bin").agg(F.sum("n").alias("n")).toPandas()  # 800 rows
 
     def median(kind: int, default: float) -> float:
         part = bins[bins["kind"] == kind].sort_values("bin")
@@ -185,8 +237,11 @@ def learn(texts: DataFrame, window: int) -> Coherence:
             return default
         return float(part["bin"].iloc[int(np.searchsorted(total, total.iloc[-1] / 2))]) / 20 - 10
 
-    found.usual, found.usual_repeated = max(0.5, median(0, 3.0)), max(0.0, median(1, 0.0))
-    return found
+    return max(0.5, median(0, 3.0)), max(0.0, median(1, 0.0))
+
+
+def _joined(arrays: pd.Series) -> np.ndarray:
+    return np.concatenate([np.empty(0), *arrays])
 
 
 @dataclass
@@ -256,43 +311,40 @@ def windows(texts: list[str], known: Coherence, window: int) -> Windows:
     return Windows(text_of, score - chance, n_near, repeated, w, owner, chars, words, often)
 
 
-def stuffed_chars(texts: list[str], known: Coherence, window: int, low: float, low_repeated: float) -> tuple[np.ndarray, np.ndarray]:
-    """Characters of the incoherent windows of each running text, and its share of excessively
-    repeated pairs (three times or more and a hundredth of the text).
+def stuffed_chars(part: pd.DataFrame, usual: float, usual_repeated: float, low: float, low_repeated: float) -> np.ndarray:
+    """Characters of the incoherent windows of each text.
 
     A window is incoherent below `low` of the usual coherence, or below `low_repeated` of it if its
-    share of repeated pairs is 0.4 over the usual one. Six pairs of usual coherence are added to each window, so that short
-    texts need more evidence; texts of fewer than eight words have none."""
-    w = windows(texts, known, window)
-    level = (w.delta * w.pairs + known.usual * 6) / (w.pairs + 6) / known.usual
-    bad = ((level < low) | ((w.repeated >= 0.4 + known.usual_repeated) & (level < low_repeated))) & (w.words[w.text] >= 8)
-    return np.bincount(w.owner, weights=w.chars * bad[w.window_of], minlength=len(texts)).astype(np.int64), w.often
+    share of excessively repeated pairs (three times or more and a hundredth of the text) is 0.4 over
+    the usual one. Six pairs of usual coherence are added to each window, so that short texts need
+    more evidence; texts of fewer than eight words have none."""
+    text = np.repeat(np.arange(len(part)), part["pairs"].map(len))
+    delta, pairs, often, chars = (_joined(part[c]) for c in ("delta", "pairs", "often", "chars"))
+    level = (delta * pairs + usual * 6) / (pairs + 6) / usual
+    bad = ((level < low) | ((often >= 0.4 + usual_repeated) & (level < low_repeated))) & (part["words"].to_numpy()[text] >= 8)
+    return np.bincount(text, weights=chars * bad, minlength=len(part)).astype(np.int64)
 
 
 def stuffing(documents: DataFrame, id: str, text: str, window: int = 16, low: float = 0.58, low_repeated: float = 1.2) -> DataFrame:
     """One row per document with text: id, n_chars, link_chars, stuffed_chars (of incoherent word
     windows), repeated (share of word pairs that are repeated excessively), share (of both in all characters) and stuffed (share over a half).
 
-    Coherence is measured against counts of neighbouring words over all documents; texts are read
-    whole. Documents whose formal lines (code, logs, tables, ...) make up half of the characters or
-    more cannot be stuffed for more than half and are not looked up. Null and empty texts give no
+    Coherence is measured against counts of neighbouring words over all distinct texts: each is
+    counted and judged once, whatever the number of its copies, and the verdict holds for all of
+    them. Texts are read whole. Documents whose formal lines (code, logs, tables, ...) make up half of
+    the characters or more cannot be stuffed for more than half. Null and empty texts give no
     row; repeated rows give repeated rows; extra columns are ignored; an empty table gives none."""
     read = documents.select(F.col(id).alias("id"), F.col(text).alias("text")).where(F.col("text").rlike(r"\S"))
-    shared = documents.sparkSession.sparkContext.broadcast(learn(read, window))  # bounded by 2 * PARTS entries
+    found = measured(distinct_texts(read), window)
+    usual_delta, usual_repeated = usual(found)
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i in range(0, len(batch), 500):
-                part = batch.iloc[i : i + 500]
-                lines = [read_lines(t) for t in part["text"]]
-                links = np.array([x.links for x in lines], dtype=np.int64)
-                formal = np.array([x.formal for x in lines], dtype=np.int64)
-                whole = np.array([len(x.running) for x in lines]) + links + formal
-                open_ = np.flatnonzero(formal * 2 < whole)
-                bad, often = np.zeros(len(lines), dtype=np.int64), np.zeros(len(lines))
-                bad[open_], often[open_] = stuffed_chars([lines[j].running for j in open_], shared.value, window, low, low_repeated)
-                share = np.minimum((bad + links) / np.maximum(whole, 1), 1.0)
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "n_chars": whole, "link_chars": links, "stuffed_chars": bad, "repeated": often, "share": share, "stuffed": share > 0.5})
-
-    kind = read.schema["id"].dataType.simpleString()
-    return read.mapInPandas(judge, f"id {kind}, n_chars long, link_chars long, stuffed_chars long, repeated double, share double, stuffed boolean")
+        for part in batches:
+            whole, links = part["n_chars"].to_numpy(), part["links"].to_numpy()
+            open_ = part["formal"].to_numpy() * 2 < whole
+            bad = stuffed_chars(part, usual_delta, usual_repeated, low, low_repeated) * open_
+            share = np.minimum((bad + links) / np.maximum(whole, 1), 1.0)
+            yield pd.DataFrame({"a": part["a"], "b": part["b"], "n_chars": whole, "link_chars": links, "stuffed_chars": bad, "repeated": part["repeated"] * open_, "share": share, "stuffed": share > 0.5})
+
+    verdict = found.mapInPandas(judge, "a long, b long, n_chars long, link_chars long, stuffed_chars long, repeated double, share double, stuffed boolean")
+    return read.select("id", *_text_key("text")).join(verdict, ["a", "b"]).drop("a", "b")

@@ -219,3 +219,22 @@ def test_stuffing(spark):
     assert set(spam) <= flagged and not flagged & set(fine) and len(flagged) < 20
     assert sum(r.id == 9001 for r in got) == 2 and not any(r.id >= 9200 for r in got)
     assert stuffing.stuffing(df.limit(0), "id", "text").collect() == []
+
+
+def _pages(rng, words, n):
+    """Pages of sentences in which each noun has its own verb, and a page of the same words in no order."""
+    nouns, verbs = words[: len(words) // 2], words[len(words) // 2 :]
+    sentence = lambda: " ".join(x for i in rng.choices(range(len(nouns)), k=6) for x in (nouns[i], verbs[i]))
+    return [". ".join(sentence() for _ in range(8)) for _ in range(n)]
+
+
+def test_stuffing_of_copies(spark):
+    rng = random.Random(9)
+    pages = _pages(rng, WORDS, 400)
+    salad = " ".join(f"{rng.choice('bcdfg')}{rng.choice('aeiou')}{a}{b}" for a in ("rk", "lm", "nt", "sp", "ft", "gd", "zk") for b in ("o", "e", "i", "ar", "ul", "em", "on", "ix", "ad", "ot", "is", "un"))
+    rows = [*enumerate(pages), *((1000 + i, salad) for i in range(200))]
+    got = stuffing.stuffing(spark.createDataFrame(rows, "id int, text string"), "id", "text").collect()
+    alone = stuffing.stuffing(spark.createDataFrame([*enumerate(pages), (1000, salad)], "id int, text string"), "id", "text").collect()
+    assert {r.id for r in got if r.stuffed} == set(range(1000, 1200)) and len(got) == len(rows)
+    share = {r.id: r.share for r in got}
+    assert all(share[r.id] == r.share for r in alone)
