@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from ctxspark.runtime import cut_lineage, written
 
-#: Words and pairs that make up at least one in so many of all pairs have counts of their own.
+#: Words and pairs that make up at least one in so many of all pairs are known to every task; the
+#: counts of all others are joined to the texts.
 PARTS = 1 << 20
 #: Characters of the texts that are looked up together.
 GROUP_CHARS = 1 << 22
@@ -186,17 +187,27 @@ class Coherence:
         at = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
         return np.where(self.keys[at] == k, self.counts[at], 0)
 
+    def lacks(self, k: np.ndarray) -> np.ndarray:
+        return k[self.of(k) == 0]
+
+
+def _asked(texts: list[str]) -> np.ndarray:
+    """The words and the pairs, of neighbours and apart, whose counts the texts' windows need."""
+    h, owner, _ = tokens(texts)
+    return np.unique(np.concatenate([h, *(_neighbours(h, owner, apart)[0] for apart in (1, *APART))]))
+
 
 def measured(texts: DataFrame, window: int) -> DataFrame:
     """The windows of each text: their coherence (delta), numbers of pairs, shares of repeated pairs
     and characters, by the counts over all texts.
 
-    Keys that make up at least 1 / PARTS of all pairs (at most 2 * PARTS, whatever the corpus) are
-    broadcast; other counts are taken as none."""
+    Keys that make up at least 1 / PARTS of all pairs (at most 4 * PARTS, whatever the corpus) are
+    broadcast. The other keys of a group of texts are joined to the table of counts, so that no count
+    is left out."""
     counted = cut_lineage(corpus_counts(texts))
     pairs = int((counted.where("k = 0").agg(F.sum("n")).first()[0]) or 0)
-    least, counted = max(2, pairs // PARTS), counted.where("k <> 0")
-    known = counted.where(F.col("n") >= least).toPandas()  # bounded by 2 * PARTS
+    least, counted = max(1, pairs // PARTS), counted.where("k <> 0")
+    known = counted.where(F.col("n") >= least).toPandas()  # bounded by 4 * PARTS
     shared: Broadcast[Coherence] = texts.sparkSession.sparkContext.broadcast(Coherence.made(known, pairs))
 
     def measure(part: pd.DataFrame, known: Coherence) -> pd.DataFrame:
@@ -207,13 +218,27 @@ def measured(texts: DataFrame, window: int) -> DataFrame:
         arrays = {"delta": w.delta, "pairs": w.pairs, "often": w.repeated, "chars": chars}
         return pd.DataFrame(kept | {"words": w.words, "repeated": w.often} | {k: pd.Series(np.split(x, ends), dtype=object) for k, x in arrays.items()})
 
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for g, part in batch.groupby("g"):
+                yield pd.DataFrame({"g": g, "k": shared.value.lacks(_asked(part["running"].tolist())).view(np.int64)})
+
     def measure_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for _, part in batch.groupby("g"):
                 yield measure(part, shared.value)
 
+    def measure_group(part: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        keys = _asked(part["running"].tolist()).view(np.int64)
+        own = pd.DataFrame({"k": keys, "n": shared.value.of(keys.view(np.uint64))})
+        return measure(part, Coherence.made(pd.concat([own[own["n"] > 0], found[["k", "n"]].drop_duplicates("k")]), pairs))
+
     kind = "a long, b long, formal long, links long, n_chars long, words long, repeated double, delta array<double>, pairs array<long>, often array<double>, chars array<long>"
-    return written(texts.mapInPandas(measure_all, kind))
+    if least == 1:
+        return written(texts.mapInPandas(measure_all, kind))
+    asked = texts.select("g", "running").mapInPandas(ask, "g long, k long")
+    found = asked.join(counted.where(F.col("n") < least), "k").select("g", "k", "n")
+    return written(texts.groupBy("g").cogroup(found.groupBy("g")).applyInPandas(measure_group, kind))
 
 
 def usual(found: DataFrame) -> tuple[float, float]:

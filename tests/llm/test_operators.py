@@ -238,3 +238,14 @@ def test_stuffing_of_copies(spark):
     assert {r.id for r in got if r.stuffed} == set(range(1000, 1200)) and len(got) == len(rows)
     share = {r.id: r.share for r in got}
     assert all(share[r.id] == r.share for r in alone)
+
+
+def test_stuffing_keeps_rare_counts(spark, monkeypatch):
+    rng = random.Random(10)
+    rare = [f"{a}{b}{c}" for a in "bdfghjz" for b in ("ax", "ev", "oz") for c in ("ira", "ul", "omi", "ek")]
+    pages = [*_pages(rng, WORDS, 600), *_pages(rng, rare, 40)]
+    df = spark.createDataFrame(list(enumerate(pages)), "id int, text string")
+    every = {r.id: r for r in stuffing.stuffing(df, "id", "text").collect()}
+    monkeypatch.setattr(stuffing, "PARTS", 250)  # as in a corpus so large that the words of the last pages are below 1 / PARTS
+    got = {r.id: r for r in stuffing.stuffing(df, "id", "text").collect()}
+    assert got == every and len(got) == 640 and not any(got[i].stuffed for i in range(600, 640))
