@@ -122,9 +122,11 @@ def common_shingles(texts: DataFrame, size: int, min_words: int) -> tuple[dict[i
 
 
 class Weights:
-    """TF-IDF weights of shingles: (1 + ln tf) (1 + ln(n / df) / ln COMMON), the second at most 2."""
+    """TF-IDF weights of shingles: (1 + ln tf) (1 + ln(n / df) / ln COMMON), the second at most 2;
+    without `repeats`, tf is 1."""
 
-    def __init__(self, common: dict[int, int], n_texts: int):
+    def __init__(self, common: dict[int, int], n_texts: int, repeats: bool = True):
+        self.repeats = repeats
         self.known = np.array(sorted(common), dtype=np.int64)
         df = np.array([common[k] for k in self.known.tolist()], dtype=float)
         self.idf = 1 + np.clip(np.log(max(n_texts, 1) / np.maximum(df, 1)) / math.log(COMMON), 0, 1)
@@ -134,7 +136,7 @@ class Weights:
         if len(self.known):
             at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
             idf = np.where(self.known[at] == s, self.idf[at], 2.0)
-        return (1 + np.log(tf)) * idf
+        return (1 + np.log(tf)) * idf if self.repeats else idf
 
 
 _quantiles: list[np.ndarray] = []
@@ -204,10 +206,13 @@ def near_duplicates(
     bands: int = 20,
     rows: int = 3,
     bucket: int = 20,
+    repeats: bool = True,
 ) -> NearDuplicates:
     """Pairs of different texts of the same source whose weighted Jaccard similarity over TF-IDF
     shingles is at least `similarity`, and whose plain Jaccard similarity of the shingle sets is at
-    least `plain_similarity`.
+    least `plain_similarity`. Without `repeats`, a shingle weighs the same however often a text has
+    it: weights then lie between 1 and 2, so that a plain similarity of p is a weighted one of at
+    least p / (2 - p).
 
     Rows with fewer than `min_words` words (null and empty texts too) are in no pair; repeated rows
     and copies form classes and only one text of each is compared. Extra columns are ignored, empty
@@ -224,7 +229,7 @@ def near_duplicates(
     min_words = max(min_words, shingle_words)
     common, n_texts = common_shingles(read, shingle_words, min_words)
     # what every task needs of the corpus, bounded: see common_shingles
-    shared = records.sparkSession.sparkContext.broadcast(Weights(common, n_texts))
+    shared = records.sparkSession.sparkContext.broadcast(Weights(common, n_texts, repeats))
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def band_keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -277,6 +282,10 @@ def near_duplicates(
 
     @F.pandas_udf(T.StructType([T.StructField("weighted", T.DoubleType()), T.StructField("plain", T.DoubleType())]))
     def compare(left: pd.Series, right: pd.Series) -> pd.DataFrame:
+        parts = [compare_some(left.iloc[i : i + 500], right.iloc[i : i + 500]) for i in range(0, len(left), 500)]
+        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"weighted": [], "plain": []}, dtype=float)
+
+    def compare_some(left: pd.Series, right: pd.Series) -> pd.DataFrame:
         s, tf, each = distinct_shingles([*left, *right], shingle_words)
         weight, ends, n = shared.value.of(s, tf), np.cumsum(each), len(left)
         out = np.zeros((n, 2))

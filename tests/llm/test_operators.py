@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ctxspark.llm import credentials as C
-from ctxspark.llm import mixing, neardup, packing, splitting, stuffing
+from ctxspark.llm import mixing, neardup, packing, queries, splitting, stuffing
 from ctxspark.llm.tokens import token_count
 
 WORDS = [a + b + c for a in "kstlm" for b in ("ar", "el", "in", "op", "u") for c in ("den", "mor", "tas", "vik", "", "ling")]
@@ -249,3 +249,13 @@ def test_stuffing_keeps_rare_counts(spark, monkeypatch):
     monkeypatch.setattr(stuffing, "PARTS", 250)  # as in a corpus so large that the words of the last pages are below 1 / PARTS
     got = {r.id: r for r in stuffing.stuffing(df, "id", "text").collect()}
     assert got == every and len(got) == 640 and not any(got[i].stuffed for i in range(600, 640))
+
+
+def test_near_duplicates_of_repeated_blocks(spark, tmp_path):
+    rng = random.Random(12)
+    blocks = [_text(rng, 60) for _ in range(12)]
+    rows = [(f"{i}-{n}", ". ".join([b] * n)) for i, b in enumerate(blocks) for n in (1, 6)]
+    spark.createDataFrame(rows, "id string, summary string").write.parquet(f"{tmp_path}/memory_nodes.parquet")
+    spark.createDataFrame([], "chunk_id string, content string").write.parquet(f"{tmp_path}/knowledge_chunks.parquet")
+    got = {tuple(r) for r in queries.p1_found(spark, str(tmp_path)).collect()}
+    assert got == _pairs([("memory_nodes", *r) for r in rows], 3, 0.6) and len(got) == 12
