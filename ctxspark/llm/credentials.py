@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import base64
-import random
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -15,368 +14,295 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Lines that the model is trained on (made by `training_lines`), and passes over them.
-TRAINING_LINES = 6_000
+from ctxspark.llm.credential_lines import training_texts
+from ctxspark.llm.crf import BEGIN, FEATURES, INSIDE, Crf
+
+#: Made-up texts that the model is trained on, and passes over them.
+TRAINING_TEXTS = 8_000
 PASSES = 6
-_FEATURES = 1 << 16
-_LONGEST = 256  # tokens of a chain; longer lines are cut after their features are known
-OUT, BEGIN, INSIDE = 0, 1, 2
-
-#: A line without any of these holds nothing that could be a credential and is not decoded.
-_CUE = re.compile(
-    r"pass|pwd|_pw\b|\bpw\b|secret|token(?!s|_bucket|_count|bucket)|key\b|key[\"'=:]|[_.-]auth|\bauth|bearer|basic |kennwort|contrase|clave|credential|logs? in|login|identified by|\bsig(?:nature)?=|"
-    r"[\w.]:[^\s:@]+@|-----BEGIN|\bcurl\b|\b(?:AKIA|ghp_|glpat-|eyJ|xox[abp]-|sk_)",
-    re.I,
-)
+
+_KEY_HEAD = re.compile(r"-----BEGIN [A-Z0-9 ]+-----")
+_KEY_END = re.compile(r"-----END [A-Z0-9 ]+-----")
+_KEY_BODY = re.compile(r"(?:(?:\\n|\r?\n)[ \t>+-]*[A-Za-z0-9+/=]{16,})*")
+#: Stands for each character of a key block while a text is cut into tokens.
+_IN_KEY = "\ue000"
 _LEX = re.compile(
-    r"""(?P<pem>-----BEGIN[ ][A-Z0-9 ]+-----.{0,20000}?-----END[ ][A-Z0-9 ]+-----|-----BEGIN[ ][A-Z0-9 ]+-----)
+    r"""(?P<pem>\ue000+)
     |(?P<pieces>"[^"\n]*"(?:[ \t]*\\?\+?[ \t]*\r?\n[+-]?[ \t]*\+?[ \t]*"[^"\n]*")+|'[^'\n]*'(?:[ \t]*\\?\+?[ \t]*\r?\n[+-]?[ \t]*\+?[ \t]*'[^'\n]*')+)
-    |"(?P<double>(?![^"\s]*://)[^"\s]+)"|'(?P<single>(?![^'\s]*://)[^'\s]+)'
-    |(?P<sign>[-+](?=-----BEGIN))
+    |"(?P<double>(?![^"\s]*://)[^"\s\ue000]+)"|'(?P<single>(?![^'\s]*://)[^'\s\ue000]+)'
+    |(?P<sign>[-+](?=\ue000))
     |(?:(?<=:)//|(?<![\w/.@-]))[\w.+-]*:(?P<user>(?!//)[^\s@"']+)@(?=[\w-]+\.[\w.-])
-    |(?P<word>[^\s"'`<>=:;,&(){}\[\]|]*[^\s"'`<>=:;,&(){}\[\]|.]={1,2}(?=[\s"'`<;,&]|$)|[^\s"'`<>=:;,&(){}\[\]|]*[^\s"'`<>=:;,&(){}\[\]|.])
+    |(?P<word>[^\s"'`<>=:;,&(){}\[\]|\ue000]*[^\s"'`<>=:;,&(){}\[\]|.\ue000]={1,2}(?=[\s"'`<;,&]|$)|[^\s"'`<>=:;,&(){}\[\]|\ue000]*[^\s"'`<>=:;,&(){}\[\]|.\ue000])
     |(?P<mark>\S)""",
-    re.X | re.S,
+    re.X,
 )
-_NAME = re.compile(r"pass(?!ed|es\b|ing|ive|age)|pwd|(?:^|_)pw$|secret|token|(?:api|access|signing|licen[cs]e|private|encryption|client|auth|master|service|storage|account)[._-]?key|kennwort|contrase|clave|credential|bearer|^basic$|^sig(?:nature)?$|[?&]key$|[?&]sig$|_key$|^identified$|auth(?:$|[._-])", re.I)
+_NAME = re.compile(r"pass(?!ed|es\b|ing|ive|age)|pwd|(?:^|_)pw$|secret|token|(?:api|access|signing|licen[cs]e|private|encryption|client|auth|master|service|storage|account)[._-]?key|kennwort|contrase|clave|senha|parola|has[lł]o|wachtwoord|l[öo]senord|heslo|şifre|jelsz[óo]|пароль|密码|密碼|パスワード|비밀번호|credential|bearer|^basic$|^sig(?:nature)?$|[?&]key$|[?&]sig$|_key$|^identified$|auth(?:$|[._-])", re.I)
 _OTHER_NAME = re.compile(r"tokens|token_?(?:count|bucket|type|limit)|bucket|length|min_|max_|cache_?key|public|sha\d|etag|integrity|digest|checksum|commit|(?:^|_)id$|revision|fingerprint|^reset_|primary_key|foreign|partition|sort_key|expir|_url$|_path$|_file$|_name$|rotat", re.I)
 _PLACEHOLDER = re.compile(r"^(?:<.*>?|\$.*|%\w+%?|\{.*|x{3,}|X{3,}|\*{3,}|\.{3,}|•+|change[_-]?me|todo|fixme|example\w*|null|none|nil|true|false|undefined|your[_-].*|dummy|placeholder|redacted|masked|test|secret|password|os\.environ.*|os\.getenv.*|process\.env.*|read_\w+|vault\w*|env|getenv)$", re.I)
-_SHAPES = [
-    ("uuid", re.compile(r"^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$", re.I)),
-    ("jwt", re.compile(r"^eyJ[\w-]+\.[\w-]+(?:\.[\w-]+)?$")),
-    ("issued", re.compile(r"^(?:AKIA[A-Z0-9]{12,}|gh[pousr]_\w{8,}|glpat-[\w-]{8,}|xox[abprs]-[\w-]+|[a-z]{2,5}_(?:live|prod|test)_\w{8,}|AIza[\w-]{20,}|npm_\w{20,})$")),
-    ("version", re.compile(r"^v?\d+(?:\.\d+)+$")),
-    ("number", re.compile(r"^[\d.,_-]+$")),
-    ("hex40", re.compile(r"^(?=.*\d)[0-9a-f]{32,}$", re.I)),
-    ("hex", re.compile(r"^(?=.*\d)[0-9a-f]{7,31}$", re.I)),
-    ("hashed", re.compile(r"^sha\d+-")),
-    ("words1", re.compile(r"^[a-z]+(?:-[a-z]+)+-\d+$")),
-    ("lower1", re.compile(r"^[a-z]+\d{2,}$")),
-    ("strong", re.compile(r"^(?=.*[A-Za-z])(?=.*\d)(?=.*[!?%#+@$^*~])[\w!?%#+@$^*~./-]{6,}$")),
-    ("strong0", re.compile(r"^(?=.*[A-Za-z])(?=.*[!?%#+$^*~])[\w!?%#+@$^*~./-]{6,}$")),
-    ("dashed", re.compile(r"^[a-z]+(?:-[a-z]+)+$")),
-    ("lower", re.compile(r"^[a-zà-ÿ]+$")),
-    ("upper", re.compile(r"^[A-Z]+$")),
-    ("title", re.compile(r"^[A-Z][a-z]+$")),
-    ("name", re.compile(r"^[A-Za-z]+(?:_[A-Za-z]+)+$")),
-    ("dotted", re.compile(r"^[A-Za-z_]+(?:\.[A-Za-z_]+)+$")),
-    ("base64", re.compile(r"^[A-Za-z0-9+/]{8,}={1,2}$")),
-    ("mixed", re.compile(r"^(?=.*[a-z])(?=.*[A-Z])(?=.*\d)[A-Za-z0-9._+/-]+$")),
-    ("letters", re.compile(r"^[A-Za-z]+$")),
-    ("digits1", re.compile(r"^(?=.*\d)(?=.*[A-Za-z])[\w.+/-]+$")),
-    ("path", re.compile(r"^[\w.-]*/[\w./-]*$")),
-]
+_SHAPES = {
+    "uuid": r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
+    "jwt": r"eyJ[\w-]+\.[\w-]+(?:\.[\w-]+)?",
+    "issued": r"AKIA[A-Z0-9]{12,}|gh[pousr]_\w{8,}|glpat-[\w-]{8,}|xox[abprs]-[\w-]+|[a-z]{2,5}_(?:live|prod|test)_\w{8,}|AIza[\w-]{20,}|npm_\w{20,}|hf_\w{20,}|pypi-[\w-]{20,}|dop_v1_\w{20,}|SG\.[\w.-]{20,}",
+    "version": r"v?\d+(?:\.\d+)+",
+    "number": r"[\d.,_-]+",
+    "hex40": r"(?=.*\d)[0-9a-fA-F]{32,}",
+    "hex": r"(?=.*\d)[0-9a-fA-F]{7,31}",
+    "hashed": r"sha\d+-.*",
+    "words1": r"[a-z]+(?:-[a-z]+)+-\d+",
+    "lower1": r"[a-z]+\d{2,}",
+    "strong": r"(?=.*[A-Za-z])(?=.*\d)(?=.*[!?%#+@$^*~])[\w!?%#+@$^*~./-]{6,}",
+    "strong0": r"(?=.*[A-Za-z])(?=.*[!?%#+$^*~])[\w!?%#+@$^*~./-]{6,}",
+    "dashed": r"[a-z]+(?:-[a-z]+)+",
+    "lower": r"[a-zà-ÿ]+",
+    "upper": r"[A-Z]+",
+    "title": r"[A-Z][a-z]+",
+    "name": r"[A-Za-z]+(?:_[A-Za-z]+)+",
+    "dotted": r"[A-Za-z_]+(?:\.[A-Za-z_]+)+",
+    "base64": r"[A-Za-z0-9+/]{8,}={1,2}",
+    "mixed": r"(?=.*[a-z])(?=.*[A-Z])(?=.*\d)[A-Za-z0-9._+/-]+",
+    "camel": r"(?:[A-Z][a-z]+){2,}",
+    "letters": r"[A-Za-z]+",
+    "digits1": r"(?=.*\d)(?=.*[A-Za-z])[\w.+/-]+",
+    "path": r"[\w.-]*/[\w./-]*",
+}
+_SHAPE = re.compile("|".join(f"(?P<{name}>(?:{rule})$)" for name, rule in _SHAPES.items()))
+_RUNS = re.compile(r"[a-z]+|[A-Z]+|\d+|[^a-zA-Z\d]+")
+_KINDS = {k: i - 1 for k, i in _LEX.groupindex.items()}
+_NONE, _SECRET, _OTHER, _PLAIN, _ABOVE = range(5)
+#: What a line that is decoded has: letters next to digits, mixed case or a sign inside a word, a key
+#: block, or a name. All other lines are plain words and numbers without a name that asks for a value.
+_OPEN = re.compile(r"[A-Za-z]\d|\d[A-Za-z]|[a-z][A-Z]|[\w.-][!?#%$^*+~@][\w!?#%$^*+~@]|\ue000|" + _NAME.pattern.replace("|^basic$|^sig(?:nature)?$|[?&]key$|[?&]sig$|_key$|^identified$", r"|basic|\bsig\b|signature|key\b|identified|[_.-]auth").replace("(?:^|_)pw$", r"pw\b").replace("auth(?:$|[._-])", r"auth\b"), re.I)
 
 
 def shape(token: str) -> str:
     if _PLACEHOLDER.match(token):
         return "placeholder"
-    return next((name for name, rule in _SHAPES if rule.match(token)), "other")
-
-
-def _size(n: int) -> str:
-    return "1" if n < 4 else "2" if n < 8 else "3" if n < 16 else "4" if n < 32 else "5"
-
-
-def lex(text: str, start: int, stop: int) -> list[tuple[str, int, int]]:
-    """Lexical tokens (kind, start, end) from `start` on that begin before `stop`; a key block or a
-    value in adjacent string pieces is one token and may end later."""
-    out = []
-    for m in _LEX.finditer(text, start):
-        if m.start() >= stop:
-            break
-        kind = m.lastgroup
-        if kind == "pieces":
-            out.append((kind, m.start() + 1, m.end() - 1))
-        else:
-            out.append(("mark" if kind == "sign" else kind, *m.span(kind)))
-    return out
-
-
-def features(text: str, tokens: list[tuple[str, int, int]]) -> list[list[int]]:
-    """Hashed shape and context features of the tokens of a line."""
-    words = [text[a:b] for _, a, b in tokens]
-    shapes = []
-    for (kind, _, _), w in zip(tokens, words):
-        if kind == "pem":
-            shapes.append("public" if re.match(r"-----BEGIN (?:[A-Z0-9 ]*PUBLIC KEY|CERTIFICATE)", w) else "private")
-        elif kind == "mark":
-            shapes.append(w)
-        elif kind == "pieces":
-            shapes.append("pieces:" + shape(re.sub(r"[\"'].*?[\"']", "", w, flags=re.S)))
-        else:
-            shapes.append(shape(w))
-    lower = [w.lower() if len(w) < 20 and w.isalpha() else s for w, s in zip(words, shapes)]
-    line = " ".join(x for x in lower[:12])
-    stdin, curl, machine = "-stdin" in text[tokens[0][1] : tokens[-1][2]], line.startswith(("curl", "- curl", "+ curl")), "machine" in lower
-    out, name, since, marks, flag = [], "", 9, "", ""
-    for i, ((kind, a, _), w) in enumerate(zip(tokens, words)):
-        quoted = kind in ("double", "single")
-        back = [lower[i - k] if i >= k else "^" for k in (1, 2, 3)]
-        ahead = [lower[i + k] if i + k < len(lower) else "$" for k in (1, 2)]
-        s, n = shapes[i], _size(len(w))
-        near = f"{name}{min(since, 6)}"
-        found = [
-            f"s{s}", f"k{kind}", f"s{s}n{n}", f"k{kind}s{s}", f"b{back[0]}", f"a{ahead[0]}", f"b{back[0]}s{s}", f"a{ahead[0]}s{s}", f"bb{back[1]}{back[0]}", f"bb{back[1]}{back[0]}s{s}",
-            f"bbb{back[2]}{back[1]}{back[0]}", f"aa{ahead[0]}{ahead[1]}", f"c{near}", f"c{near}s{s}", f"c{name}m{marks}", f"c{name}m{marks}s{s}", f"c{name}k{kind}s{s}", f"q{quoted}s{s}n{n}",
-            f"i{stdin}q{quoted}s{s}", f"u{curl}s{s}b{back[0]}", f"h{machine}s{s}b{back[0]}", f"f{flag}s{s}", f"l{back[0] == '-'}{i == len(words) - 1}s{s}",
-        ]
-        out.append([zlib.crc32(x.encode("utf-8", "replace")) & (_FEATURES - 1) for x in found])
-        if kind == "mark":
-            marks, since = (marks + w)[-3:], since + 1
-        elif _OTHER_NAME.search(w):
-            name, since, marks = "other", 0, ""
-        elif len(w) < 60 and _NAME.search(w) and s not in ("issued", "jwt", "base64", "mixed"):
-            name, since, marks = "secret", 0, ""
-            flag = "f" if w.startswith("-") else ""
-        elif s in ("name", "dotted") and i + 1 < len(words) and words[i + 1] in "=:":
-            name, since, marks = "plain", 0, ""
-        else:
-            marks, since = (marks + "w")[-3:], since + 1
-    return out
-
-
-# training lines ------------------------------------------------------------------------------
-
-
-def _value(rng: random.Random, noun) -> str:
-    """A credential as people and services make them."""
-    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    draw = lambda chars, a, b: "".join(rng.choice(chars) for _ in range(rng.randint(a, b)))
-    code = lambda x: base64.b64encode(x.encode()).decode()
-    kinds = [
-        lambda: draw(alnum, 8, 44),
-        lambda: draw(alnum, 9, 18),
-        lambda: draw(alnum + "._-", 12, 40).strip("._-") + "a1",
-        lambda: draw(alnum + "+/", 20, 40),
-        lambda: noun() + str(rng.randint(1950, 2030)) + rng.choice("!?+#*$%"),
-        lambda: noun()[:4] + draw("!?%#+$*", 1, 2) + noun().upper() + str(rng.randint(1, 99)),
-        lambda: noun().title() + rng.choice("!?%#+$_") + noun() + str(rng.randint(10, 9999)),
-        lambda: f"{noun()}-{noun()}-{noun()}-{rng.randint(1, 99)}",
-        lambda: draw("bcdfghjkmnp", 6, 9) + str(rng.randint(100, 999)),
-        lambda: rng.choice(["ghp_", "glpat-", rng.choice(["sk", "tmk", "krn", "vsl", "pay"]) + rng.choice(["_live_", "_prod_"])]) + draw(alnum, 14, 36),
-        lambda: "AKIA" + draw("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 16, 16),
-        lambda: "eyJ" + draw(alnum, 20, 40) + "." + draw(alnum, 20, 60) + "." + draw(alnum + "-_", 30, 43) + "Z",
-        lambda: draw("0123456789abcdef", 40, 40),
-        lambda: draw("0123456789abcdef", 64, 64),
-        lambda: code(draw(alnum + "-_", 10, 40)),
-        lambda: code(noun() + "-" + noun() + str(rng.randint(1, 99))),
-    ]
-    return rng.choice(kinds)()
-
-
-def training_lines(n: int = TRAINING_LINES, seed: int = 5) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Made-up lines with the spans of the credentials in them: settings, code, commands, headers,
-    addresses, notes in four languages, key blocks; and as many that only look alike."""
-    rng = random.Random(seed)
-    syllables = ["ba", "cor", "den", "fil", "gor", "hat", "jin", "kel", "lum", "mor", "nap", "ost", "pel", "quin", "ras", "sil", "tor", "ur", "vel", "wex", "yar", "zon", "ter", "in", "al", "ge"]
-    noun = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(2, 3)))
-    secret = ["password", "passwd", "pwd", "passphrase", "secret", "token", "api_key", "apiKey", "api-key", "access_token", "auth_token", "client_secret", "clientSecret", "signing_key", "secret_key", "webhook_secret", "db_pass", "dbPassword", "redis_pass", "smtp_password", "root_password", "keystore_password", "deploy_token", "refreshToken", "licence_key", "PGPASSWORD", "admin_pw", "private_key", "encryption_key", "access_key"]
-    plain = ["path", "endpoint", "region", "mode", "level", "limit", "cache_key", "token_count", "password_min_length", "request_id", "etag", "sha256", "digest", "commit", "integrity", "bucket", "user", "host", "title", "thread", "record", "tokens", "version", "batch_id", "public_key"]
-    alnum = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
-    hexes = lambda k: "".join(rng.choice("0123456789abcdef") for _ in range(k))
-    host = lambda: f"{rng.choice(['docs', 'ci', 'git', 'db-2', 'queue'])}.{noun()}.{rng.choice(['example', 'invalid', 'test'])}"
-
-    def key() -> str:
-        k = rng.choice(secret)
-        k = k if rng.random() < 0.5 else f"{noun()}{rng.choice('_-' if '-' in k else '_')}{k}"
-        k = k.upper() if rng.random() < 0.35 else k
-        return f"{noun()}.{noun()}.{k}" if rng.random() < 0.1 else k
-
-    def placeholder(k: str) -> str:
-        return rng.choice([f"<your-{k}>", "changeme", "CHANGE_ME", "TODO", "example", "null", "x" * rng.randint(5, 12), "*" * rng.randint(6, 12), "${" + k.upper() + "}", "$" + k.upper(), "{{ vault_" + noun() + " }}"])
-
-    def harmless() -> str:
-        return rng.choice([hexes(40), hexes(64), hexes(8), hexes(32), f"{noun()}:v{rng.randint(1, 9)}:{noun()}", str(rng.randint(1, 9999)), f"{noun()}-{noun()}", f"{noun()}/{noun()}", "sha512-" + base64.b64encode(hexes(64).encode()).decode(), f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}", f"{noun()}.{noun()}"])
-
-    def block(kind: str, sep: str = "\n") -> str:
-        rows = sep.join("".join(rng.choice(alnum + "+/") for _ in range(64)) for _ in range(rng.randint(2, 5)))
-        return f"-----BEGIN {kind}-----{sep}{rows}{sep}-----END {kind}-----"
-
-    setting = ["{k}={v}", "{k}: {v}", '{k} = "{v}"', "{k} = '{v}'", '{k}: "{v}"', "export {k}='{v}'", "export {k}={v}", "ENV {k} {v}", '  "{k}": "{v}",', "<{k}>{v}</{k}>", 'private static final String {k} = "{v}";', 'const {k} = "{v}";', 'var {n}Conf = Options{{User: "{n}", {k}: "{v}"}}', "client = {n}Client(\"{h}\", {k}='{v}', timeout=3)", '{k} := "{v}"', 'set({k}, "{v}")']
-    command = ["{n}ctl login --user {n} --{k} {v} --host {h}", "--{k} {v}", "--{k}={v}", "curl -u {n}:{v} https://{h}/{n}", 'curl -H "X-Api-Key: {v}" https://{h}/{n}', "Authorization: Bearer {v}", "authorization: Basic {v}", "authorization: Token {v}", "echo '{v}' | {n}ctl login --password-stdin {h}", "echo '{v}' | {n}ctl login --token-stdin {h}", "CREATE USER {n} IDENTIFIED BY '{v}';", "machine {h} login {n} password {v}", "Server={h};Database={n};User Id={n};Password={v};", "https://{h}/hooks/{n}?key={v}&label=39", "https://{h}/hooks/{n}?access_token={v}&trace=8", "https://{h}/hooks/{n}?sig={v}&payload=4", "postgresql://{n}:{v}@{h}/{n}", "redis://{n}:{v}@{h}:6433/{n}", "https://{n}:{v}@{h}/{n}.git", "mysql+driver://{n}:{v}@{h}:9779/{n}"]
-    note = ["set {k} to {v} before the next {n} run", "# temporary: {n} logs in with {v}", "# works on staging, {n} logs in with {v}", "# ask before changing, {n} logs in with {v}", "{n}:{v}@{h} is the {n} login", "Kennwort für {n}: {v}", "mot de passe du {n} : {v}", "la contraseña de {n} es {v}", "contraseña de {n}: {v}", "das Passwort von {n} ist {v}", "the {n} password is {v}", "le mot de passe de {n} est {v}", "use {v} as the {k} of {n}", "log in as {n} with {v}"]
-    alike = ['{k} = os.environ["{K}"]', '--{k} "$(read_vault {n})"', "def reset_{k}({n}_id):", "postgresql://{n}:${{{K}}}@{h}/{n}", "Authorization: Bearer ${K}", "https://{h}/{n}@v3.{d}", "ssh-ed25519 AAAA{r} {n}@{h}", "2024-05-01T10:00:00Z PUT https://{h}/{n}/{n}?p=4 200 55ms {x}", "2024-05-01T10:00:00Z INFO {n}.{n} [{n}-4] fold idle {n} id={x} took=70ms tokens=4", "kind: Secret", "the {n} reads its password from the vault", "rotate the {k} of {n} every {d} days", "{n}_frame = self.pad_{n}({n}_{n}, limit={d})", "raise {n}Error(\"outer token label\")", "every {n} key of `{n}_token` never folds {d} rows", "commit {y}", 'cache_key = "{n}:v1:{n}:{n}"', "password_min_length: {d}", "token_count = {d}", '"request_id": "{x}"', 'return {{"{n}": {n}_token, "{n}": {n}_key}}', "passwords are {d} characters", "    {n}_tokens, {n}_key = split_{n}({n}_rows)", "tests/{n}/test_{n}.py::test_{n}_key PASSED [7%]", "the login of {n} uses the key `{n}.{n}.token`"]
-    out: list[tuple[str, list[tuple[int, int]]]] = []
-    while len(out) < n:
-        k, spans = key(), []
-        fill = {"k": k, "K": k.upper(), "n": noun(), "h": host(), "d": rng.randint(2, 99), "x": hexes(8), "y": hexes(40), "r": "".join(rng.choice(alnum) for _ in range(64)), "v": "\0"}
-        kind = rng.random()
-        if kind < 0.45:
-            line = rng.choice(setting if rng.random() < 0.45 else command if rng.random() < 0.6 else note).format(**fill)
-            v = _value(rng, noun)
-            if "Basic" in line:
-                v = base64.b64encode(f"{noun()}:{v[:12]}".encode()).decode()
-        elif kind < 0.55:
-            line, v = rng.choice(setting if rng.random() < 0.6 else command).format(**fill), placeholder(k)
-        elif kind < 0.7:
-            fill["k"] = rng.choice(plain) if rng.random() < 0.6 else f"{noun()}.{noun()}.{noun()}"
-            line, v = rng.choice(setting[:11]).format(**fill), harmless()
-        elif kind < 0.92:
-            line, v = rng.choice(alike).format(**fill), ""
-        elif kind < 0.96:
-            v, cut = _value(rng, noun), 0
-            cut = rng.randint(2, max(3, len(v) - 2))
-            line, v = rng.choice(["{k} = (\0)", "{k} = \\\n    \0", "+{k} = (\0)"]).format(**fill), f'"{v[:cut]}"\n    "{v[cut:]}"'
+    found = _SHAPE.match(token)
+    return found.lastgroup if found else "other"
+
+
+@lru_cache(maxsize=1 << 16)
+def _about(kind: int, word: str) -> tuple[int, int, int, int, int, int, int]:
+    """Shape, lower-cased word or shape, role, size, changes of character class, mark and leading
+    dash of a token: numbers that its features are made of."""
+    if kind == _KINDS["mark"] or kind == _KINDS["sign"]:
+        s = low = zlib.crc32(word.encode("utf-8", "replace"))
+        return s, low, _NONE, 0, 0, s & 0xFFFF, 0
+    if kind == _KINDS["pem"]:
+        name = "public" if re.match(r"-----BEGIN (?:[A-Z0-9 ]*PUBLIC KEY|CERTIFICATE)", word) else "private"
+    elif kind == _KINDS["pieces"]:
+        name = "pieces:" + shape(re.sub(r"[\"'].*?[\"']", "", word, flags=re.S))
+    else:
+        name = shape(word)
+    s = zlib.crc32(name.encode())
+    low = zlib.crc32(word.lower().encode("utf-8", "replace")) if len(word) < 20 and word.isalpha() else s
+    role = _NONE
+    if _OTHER_NAME.search(word):
+        role = _OTHER
+    elif len(word) < 60 and _NAME.search(word) and name not in ("issued", "jwt", "base64", "mixed"):
+        role = _SECRET
+    elif name in ("name", "dotted"):
+        role = _PLAIN  # if a sign of assignment follows
+    n = len(word)
+    changes = len(_RUNS.findall(word, 0, 64)) - 1
+    size = 1 if n < 4 else 2 if n < 8 else 3 if n < 16 else 4 if n < 32 else 5
+    return s, low, role, size, min(changes, 3) if changes < 8 else 4, 119, int(word.startswith("-"))
+
+
+def _masked(text: str) -> tuple[str, dict[int, tuple[int, str]]]:
+    """The text with key blocks blotted out, and each block's end and first characters by its start.
+
+    A block goes from its first to its last dash, whatever its length; one that is not closed before
+    the next begins, or at all, goes on over the lines of its body. One pass, each search goes on
+    where the last one stopped."""
+    if "-----BEGIN " not in text:
+        return text, {}
+    out, blocks, done, closing = [], {}, 0, _KEY_END.finditer(text)
+    end = next(closing, None)
+    heads = list(_KEY_HEAD.finditer(text))
+    for i, head in enumerate(heads):
+        if head.start() < done:
+            continue
+        while end is not None and end.start() < head.end():
+            end = next(closing, None)
+        following = heads[i + 1].start() if i + 1 < len(heads) else len(text)
+        if end is not None and end.start() < following:
+            stop = end.end()
         else:
-            private = rng.random() < 0.6
-            v = block(rng.choice(["RSA PRIVATE KEY", "PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "ENCRYPTED PRIVATE KEY"] if private else ["PUBLIC KEY", "CERTIFICATE", "RSA PUBLIC KEY"]), rng.choice(["\n", "\\n"]))
-            line, kind = rng.choice(["\0", '"{n}_key": "\0",', "{n}_key: \0", '{n} = """\0"""']).format(**fill), 0.46 if private else 0.6
-        at = line.find("\0")
-        if at >= 0:
-            line = line.replace("\0", v)
-            if kind < 0.45 or kind == 0.46:
-                spans = [(at, at + len(v))]
-            elif 0.92 <= kind < 0.96:
-                spans = [(at + 1, at + len(v) - 1)]
-        if rng.random() < 0.25:
-            lead = rng.choice(["+", "-", "    ", "- ", f"2024-01-0{rng.randint(1, 9)}T05:00:00Z WARN {noun()}.{noun()} [{noun()}-5] fold idle {noun()} id={hexes(8)} took=12ms rows={rng.randint(1, 900)} ", "> ", "// "])
-            line, spans = lead + line, [(a + len(lead), b + len(lead)) for a, b in spans]
-        out.append((line, spans))
-    return out
-
-
-# the model -----------------------------------------------------------------------------------
-
-
-class Crf:
-    """Linear-chain conditional random field over hashed features with the labels out, begin, inside."""
-
-    def __init__(self, weights: np.ndarray, moves: np.ndarray):
-        self.weights, self.moves = weights, moves
-
-    @staticmethod
-    def _padded(chains: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        lengths = np.array([len(c) for c in chains])
-        ids = np.zeros((len(chains), lengths.max(), chains[0].shape[1]), dtype=np.int64)
-        for i, c in enumerate(chains):
-            ids[i, : len(c)] = c
-        return ids, lengths
-
-    @classmethod
-    def fit(cls, chains: list[np.ndarray], labels: list[np.ndarray], passes: int = PASSES, batch: int = 64, rate: float = 0.25, decay: float = 1e-5) -> Crf:
-        """Maximum likelihood by AdaGrad, with gradients from the forward-backward algorithm."""
-        w, m = np.zeros((_FEATURES, 3)), np.zeros((3, 3))
-        m[OUT, INSIDE] = -4.0
-        gw, gm = np.full_like(w, 1e-2), np.full_like(m, 1e-2)
-        rng = np.random.default_rng(1)
-        for _ in range(passes):
-            order = rng.permutation(len(chains))
-            order = order[np.argsort([len(chains[i]) // 8 for i in order], kind="stable")]
-            batches = [order[i : i + batch] for i in range(0, len(order), batch)]
-            for b in rng.permutation(len(batches)):
-                ids, lengths = cls._padded([chains[i] for i in batches[b]])
-                n, longest, _ = ids.shape
-                e = w[ids].sum(2)
-                inside = np.arange(longest) < lengths[:, None]
-                fwd, bwd = np.zeros((n, longest, 3)), np.zeros((n, longest, 3))
-                fwd[:, 0] = e[:, 0] + [0, 0, -4.0]
-                for t in range(1, longest):
-                    step = _logsum(fwd[:, t - 1, :, None] + m, 1) + e[:, t]
-                    fwd[:, t] = np.where(inside[:, t, None], step, fwd[:, t - 1])
-                for t in range(longest - 2, -1, -1):
-                    step = _logsum(m + (e[:, t + 1] + bwd[:, t + 1])[:, None, :], 2)
-                    bwd[:, t] = np.where(inside[:, t + 1, None], step, 0.0)
-                z = _logsum(fwd[:, -1], 1)
-                p = np.exp(fwd + bwd - z[:, None, None]) * inside[:, :, None]
-                gold = np.zeros_like(p)
-                for i, c in enumerate(batches[b]):
-                    gold[i, np.arange(lengths[i]), labels[c]] = 1
-                d = (gold - p)[inside]
-                dw, rows = np.zeros_like(w), ids[inside]
-                for k in range(rows.shape[1]):
-                    np.add.at(dw, rows[:, k], d)
-                dm = np.zeros((3, 3))
-                for t in range(1, longest):
-                    pair = np.exp(fwd[:, t - 1, :, None] + m + (e[:, t] + bwd[:, t])[:, None, :] - z[:, None, None]) * inside[:, t, None, None]
-                    dm += (gold[:, t - 1, :, None] * gold[:, t, None, :] * inside[:, t, None, None] - pair).sum(0)
-                touched = np.unique(rows)
-                dw = dw[touched] - decay * w[touched]
-                gw[touched] += dw**2
-                w[touched] += rate * dw / np.sqrt(gw[touched])
-                gm += dm**2
-                m += rate * dm / np.sqrt(gm)
-                m[OUT, INSIDE] = -4.0
-        return cls(w.astype(np.float32), m.astype(np.float32))
-
-    def decode(self, chains: list[np.ndarray]) -> list[np.ndarray]:
-        """Most likely labels of each chain (Viterbi)."""
-        out: list = [None] * len(chains)
-        order = np.argsort([len(c) for c in chains], kind="stable")
-        for at in range(0, len(order), 256):
-            part = order[at : at + 256]
-            ids, lengths = self._padded([chains[i] for i in part])
-            e = self.weights[ids].sum(2)
-            n, longest, _ = e.shape
-            best, back = e[:, 0] + np.array([0, 0, -4.0]), np.zeros((n, longest, 3), dtype=np.int8)
-            finals = np.zeros((n, 3))
-            finals[lengths == 1] = best[lengths == 1]
-            for t in range(1, longest):
-                step = best[:, :, None] + self.moves
-                back[:, t] = step.argmax(1)
-                best = step.max(1) + e[:, t]
-                finals[lengths == t + 1] = best[lengths == t + 1]
-            for i, c in enumerate(part):
-                path = np.empty(lengths[i], dtype=np.int8)
-                path[-1] = finals[i].argmax()
-                for t in range(lengths[i] - 1, 0, -1):
-                    path[t - 1] = back[i, t, path[t]]
-                out[c] = path
-        return out
-
-
-def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis, keepdims=True))).squeeze(axis)
+            stop = _KEY_BODY.match(text, head.end()).end()
+        out += [text[done : head.start()], _IN_KEY * (stop - head.start())]
+        blocks[head.start()] = (stop, head[0])
+        done = stop
+    return "".join(out) + text[done:], blocks
+
+
+def _waits(text: str, kinds: list[int], starts: list[int], ends: list[int]) -> bool:
+    """Whether a line of at most four words ends in a name that asks for a secret, so that its value
+    may stand in the next line."""
+    words = [i for i, k in enumerate(kinds) if k != _KINDS["mark"]]
+    if not 1 <= len(words) <= 4 or kinds[words[-1]] == _KINDS["pem"]:
+        return False
+    if _about(kinds[words[-1]], text[starts[words[-1]] : ends[words[-1]]])[2] != _SECRET:
+        return False
+    return text[starts[words[-1]]] not in "$<{*%" and all(text[a] in ":\"'>=,`" for a in starts[words[-1] + 1 :])
+
+
+@dataclass
+class Tokens:
+    """Tokens of the decoded lines of some texts, end to end: text, kind, start and end, what
+    `_about` says of each; by line its number of tokens, and whether a name above waits for a value,
+    a password is piped in, curl is called, a netrc machine is named."""
+
+    text: np.ndarray
+    kind: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    about: np.ndarray
+    lengths: np.ndarray
+    line: np.ndarray
+
+
+def read_tokens(texts: list[str | None], every_line: bool = False) -> Tokens:
+    """Cuts the texts' lines into tokens. A key block or a value in adjacent string pieces is one
+    token and may go over several lines. Lines without any sign of a value (see `_OPEN`) are left out
+    unless a name in the line above waits for its value."""
+    owner, kinds, starts, ends, about, lengths, lines = [], [], [], [], [], [], []
+    seen: dict[tuple[int, str], int] = {}  # kinds and words of these texts, by number
+    pem, pieces = _KINDS["pem"], _KINDS["pieces"]
+    for i, whole in enumerate(texts):
+        if not whole:
+            continue
+        text, blocks = _masked(whole)
+        done, waits, size = 0, -1, len(text)
+        while done < size:
+            m = None if every_line else _OPEN.search(text, done)
+            if every_line:
+                at = done
+            elif m is None:
+                if waits != done:
+                    break
+                at = done
+            else:
+                at = done if waits == done else m.start()
+            start = max(text.rfind("\n", 0, at) + 1, done)
+            stop = text.find("\n", at)
+            stop = size if stop < 0 else stop
+            while stop < size and text[max(start, stop - 40) : stop].rstrip("\r \t").endswith(("\\", "(", " =")):  # goes on in the next line
+                following = text.find("\n", stop + 1)
+                stop = size if following < 0 else following
+            before = len(kinds)
+            for m in _LEX.finditer(text, start):
+                if m.start() >= stop:
+                    break
+                kind = m.lastindex - 1  # the groups are in the order of the kinds
+                a, b = m.span(kind + 1)
+                if kind == pieces:
+                    a, b = a + 1, b - 1
+                if kind == pem:
+                    b, word = blocks.get(a, (b, ""))
+                else:
+                    word = text[a:b]
+                kinds.append(kind)
+                starts.append(a)
+                ends.append(b)
+                about.append(seen.setdefault((kind, word), len(seen)))
+            n = len(kinds) - before
+            if n:
+                stop = max(stop, ends[-1])
+                line = text[start:stop]
+                bare = line.lstrip("-+ ")
+                lines.append((waits == start, "-stdin" in line, bare.startswith("curl"), "machine" in line))
+                lengths.append(n)
+                owner += [i] * n
+                open_end = n <= 12 and _waits(text, kinds[before:], starts[before:], ends[before:])
+            else:
+                open_end = waits == start
+            done = stop + 1
+            waits = done if open_end else -1
+    table = np.array([_about(*x) for x in seen], dtype=np.int64).reshape(-1, 7)
+    return Tokens(
+        np.array(owner, dtype=np.int64), np.array(kinds, dtype=np.int64), np.array(starts, dtype=np.int64), np.array(ends, dtype=np.int64),
+        table[np.array(about, dtype=np.int64)], np.array(lengths, dtype=np.int64), np.array(lines, dtype=np.int64).reshape(-1, 4),
+    )
+
+
+def features(t: Tokens) -> Iterator[np.ndarray]:
+    """Hashed shape and context features of the tokens: one array a feature."""
+    n = len(t.kind)
+    line = np.repeat(np.arange(len(t.lengths)), t.lengths)
+    first = np.repeat(np.cumsum(t.lengths) - t.lengths, t.lengths)
+    last = first + t.lengths[line] - 1
+    here = np.arange(n)
+    shape_, low, role, size, changes, mark, dash = t.about.T
+    above, stdin, curl, machine = (x[line] for x in t.line.T)
+
+    def beside(values: np.ndarray, by: int, outside: int) -> np.ndarray:
+        at = here + by
+        inside = (at >= first) & (at <= last)
+        return np.where(inside, values[np.where(inside, at, 0)], outside)
+
+    b0, b1, b2, a0, a1 = (beside(low, k, 1 if k < 0 else 2) for k in (-1, -2, -3, 1, 2))
+    equals, colon = zlib.crc32(b"="), zlib.crc32(b":")
+    is_mark = (t.kind == _KINDS["mark"]) | (t.kind == _KINDS["sign"])
+    role = np.where((role == _PLAIN) & ~np.isin(beside(np.where(is_mark, shape_, 0), 1, 0), (equals, colon)), _NONE, role)
+    # the last name before each token of its line, and what stands between
+    place = np.maximum.accumulate(np.where(role != _NONE, here, -1)) if n else here
+    named = np.where(here > 0, place[here - 1], -1) if n else here
+    named = np.where(named >= first, named, -1)
+    name = np.where(named >= 0, role[named], np.where(above == 1, _ABOVE, _NONE))
+    since = np.minimum(np.where(named >= 0, here - named - 1, np.where(above == 1, here - first, 9)), 6)
+    marks = np.zeros(n, dtype=np.int64)
+    for k in (3, 2, 1):
+        at = here - k
+        marks = np.where(at > np.maximum(named, first - 1), marks * 31 + mark[np.maximum(at, 0)], marks)
+    secret = np.maximum.accumulate(np.where(role == _SECRET, here, -1)) if n else here
+    secret = np.where(here > 0, secret[here - 1], -1) if n else here
+    flag = np.where(secret >= first, dash[secret], 0)
+    quoted = np.isin(t.kind, (_KINDS["double"], _KINDS["single"]))
+    is_dash, final = b0 == zlib.crc32(b"-"), here == last
+    s, k, near = shape_, t.kind, name * 8 + since
+    columns = [
+        (s,), (k,), (s, size), (k, s), (b0,), (a0,), (b0, s), (a0, s), (b1, b0), (b1, b0, s), (b2, b1, b0), (a0, a1), (near,), (near, s), (name, marks), (name, marks, s), (name, k, s), (quoted, s, size),
+        (stdin, quoted, s), (curl, s, b0), (machine, s, b0), (flag, s), (is_dash, final, s), (changes, size), (changes, size, near), (changes, s, b0), (final, here == first, s, size),
+    ]
+    for i, parts in enumerate(columns):
+        h = np.full(n, (i + 1) * 0x9E3779B1 & 0xFFFFFFFF, dtype=np.uint32)
+        for p in parts:
+            h = (h ^ p.astype(np.uint32)) * np.uint32(0x85EBCA6B)
+            h ^= h >> np.uint32(15)
+        yield (h & np.uint32(FEATURES - 1)).astype(np.int32)
 
 
 @lru_cache(maxsize=1)
-def trained(n: int = TRAINING_LINES) -> Crf:
-    chains, labels = [], []
-    for line, spans in training_lines(n):
-        tokens = lex(line, 0, len(line))
-        y = np.zeros(len(tokens), dtype=np.int64)
+def trained(n: int = TRAINING_TEXTS) -> Crf:
+    made = training_texts(n)
+    t = read_tokens([text for text, _ in made], every_line=True)
+    labels = np.zeros(len(t.kind), dtype=np.int64)
+    bounds = np.searchsorted(t.text, np.arange(len(made) + 1))
+    for i, (_, spans) in enumerate(made):
+        at = slice(bounds[i], bounds[i + 1])
         for a, b in spans:
-            hit = [i for i, (_, s, e) in enumerate(tokens) if s < b and e > a]
-            y[hit[:1]], y[hit[1:]] = BEGIN, INSIDE
-        if tokens:
-            chains.append(np.array(features(line, tokens)))
-            labels.append(y)
-    return Crf.fit(chains, labels)
+            hit = bounds[i] + np.flatnonzero((t.start[at] < b) & (t.end[at] > a))
+            labels[hit], labels[hit[:1]] = INSIDE, BEGIN
+    return Crf.fit(np.stack(list(features(t)), axis=1), labels, t.lengths, PASSES)
 
 
 def spans(texts: list[str | None], model: Crf) -> list[list[tuple[int, int]]]:
-    """(start, end) of the credentials of each text. Lines with a cue are lexed and decoded."""
-    chains, where = [], []
-    for i, text in enumerate(texts):
-        if not text:
-            continue
-        done = 0
-        for m in _CUE.finditer(text):
-            if m.start() < done:
-                continue
-            start = text.rfind("\n", 0, m.start()) + 1
-            stop = text.find("\n", m.end())
-            stop = len(text) if stop < 0 else stop
-            while stop < len(text) and text[m.end() : stop].rstrip("\r \t").endswith(("\\", "(", " =")):  # goes on in the next line
-                following = text.find("\n", stop + 1)
-                stop = len(text) if following < 0 else following
-            tokens = lex(text, max(start, done), stop)
-            if not tokens:
-                done = stop
-                continue
-            done = max(stop, tokens[-1][2])
-            ids = np.array(features(text, tokens))
-            for at in range(0, len(tokens), _LONGEST):
-                chains.append(ids[at : at + _LONGEST])
-                where.append((i, tokens[at : at + _LONGEST]))
+    """(start, end) of the credentials of each text."""
+    t = read_tokens(texts)
     out: list[list[tuple[int, int]]] = [[] for _ in texts]
-    for (i, tokens), labels in zip(where, model.decode(chains) if chains else []):
-        for (_, a, b), y in zip(tokens, labels):
-            if y == BEGIN or (y == INSIDE and not out[i]):
-                out[i].append((a, b))
-            elif y == INSIDE:
-                out[i][-1] = (out[i][-1][0], b)
+    if not len(t.kind):
+        return out
+    labels = model.decode(model.emissions(list(features(t))), t.lengths)
+    line = np.repeat(np.arange(len(t.lengths)), t.lengths)
+    before = -1
+    for j in np.flatnonzero(labels).tolist():
+        found = out[t.text[j]]
+        if labels[j] == INSIDE and before == line[j] and found:
+            found[-1] = (found[-1][0], int(t.end[j]))
+        else:
+            found.append((int(t.start[j]), int(t.end[j])))
+        before = line[j]
     return out
 
 
@@ -391,8 +317,8 @@ def credential_spans(text: Column, model: Crf) -> Column:
     def find(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in batches:
             out: list = []
-            for at in range(0, len(part), 1000):
-                found = spans(part.iloc[at : at + 1000].tolist(), model)
+            for at in range(0, len(part), 500):
+                found = spans(part.iloc[at : at + 500].tolist(), model)
                 out += [[{"start_pos": a, "n_chars": b - a} for a, b in x] for x in found]
             yield pd.Series(out, dtype=object)
 
@@ -412,9 +338,9 @@ def redacted(text: Column, found: Column, mark: str = "[REDACTED]") -> Column:
     return F.when(F.size(found) == 0, text).otherwise(F.concat(walk["done"], F.substring(text, walk["at"] + 1, F.length(text))))
 
 
-def credentials(records: DataFrame, text: str, training: int = TRAINING_LINES) -> DataFrame:
+def credentials(records: DataFrame, text: str, training: int = TRAINING_TEXTS) -> DataFrame:
     """`records` with `spans`: the places of the credentials in `text`.
 
-    The CRF is trained on `training` made-up lines (a fixed bound, the same at every size) on the
+    The CRF is trained on `training` made-up texts (a fixed bound, the same at every size) on the
     driver and sent to the tasks. Rows, nulls and other columns are kept as they are."""
     return records.withColumn("spans", credential_spans(F.col(text), trained(training)))
