@@ -28,7 +28,7 @@ _KEY_BODY = re.compile(r"(?:(?:\\n|\r?\n)[ \t>+-]*[A-Za-z0-9+/=]{16,})*")
 _IN_KEY = "\ue000"
 _LEX = re.compile(
     r"""(?P<pem>\ue000+)
-    |(?P<pieces>"[^"\n]*"(?:[ \t]*\\?\+?[ \t]*\r?\n[+-]?[ \t]*\+?[ \t]*"[^"\n]*")+|'[^'\n]*'(?:[ \t]*\\?\+?[ \t]*\r?\n[+-]?[ \t]*\+?[ \t]*'[^'\n]*')+)
+    |(?P<pieces>(?<!")"[^"\n]*"(?:[ \t]*\\?\+?[ \t]*\r?\n[+-]?[ \t]*\+?[ \t]*"[^"\n]*")+|(?<!')'[^'\n]*'(?:[ \t]*\\?\+?[ \t]*\r?\n[+-]?[ \t]*\+?[ \t]*'[^'\n]*')+)
     |"(?P<double>(?![^"\s]*://)[^"\s\ue000]+)"|'(?P<single>(?![^'\s]*://)[^'\s\ue000]+)'
     |(?P<sign>[-+](?=\ue000))
     |(?:(?<=:)//|(?<![\w/.@-]))[\w.+-]*:(?P<user>(?!//)[^\s@"']+)@(?=[\w-]+\.[\w.-])
@@ -69,9 +69,53 @@ _SHAPE = re.compile("|".join(f"(?P<{name}>(?:{rule})$)" for name, rule in _SHAPE
 _RUNS = re.compile(r"[a-z]+|[A-Z]+|\d+|[^a-zA-Z\d]+")
 _KINDS = {k: i - 1 for k, i in _LEX.groupindex.items()}
 _NONE, _SECRET, _OTHER, _PLAIN, _ABOVE = range(5)
-#: What a line that is decoded has: letters next to digits, mixed case or a sign inside a word, a key
-#: block, or a name. All other lines are plain words and numbers without a name that asks for a value.
-_OPEN = re.compile(r"[A-Za-z]\d|\d[A-Za-z]|[a-z][A-Z]|[\w.-][!?#%$^*+~@][\w!?#%$^*+~@]|\ue000|" + _NAME.pattern.replace("|^basic$|^sig(?:nature)?$|[?&]key$|[?&]sig$|_key$|^identified$", r"|basic|\bsig\b|signature|key\b|identified|[_.-]auth").replace("(?:^|_)pw$", r"pw\b").replace("auth(?:$|[._-])", r"auth\b"), re.I)
+#: Parts of names that ask for a secret, in several languages.
+_ASKING = [
+    "pass", "pwd", "pw", "secret", "token", "key", "kennwort", "contrase", "clave", "senha", "parola", "haslo", "hasło", "wachtwoord", "losenord", "lösenord", "heslo", "şifre", "jelsz", "пароль", "密码", "密碼", "パスワード", "비밀번호", "credential",
+    "bearer", "basic", "sig=", "sig:", 'sig"', "signature", "identified", "auth",
+]
+#: Classes of characters: other, lower, upper, digit, sign, joiner, beyond ASCII.
+_CLASS = np.zeros(129, dtype=np.uint16)
+_CLASS[97:123], _CLASS[65:91], _CLASS[48:58], _CLASS[[ord(c) for c in "!?#%$^*+~@"]], _CLASS[[ord(c) for c in "-_."]], _CLASS[128] = 1, 2, 3, 4, 5, 6
+#: Three characters in a row that no plain word or number has: letters next to digits, mixed case, a sign inside.
+_ODD = np.zeros(512, dtype=bool)
+for _a, _b, _c in np.ndindex(8, 8, 8):
+    _letter, _word = (1, 2, 6), (1, 2, 3, 5, 6)
+    _ODD[_a * 64 + _b * 8 + _c] = (
+        (_a in _letter and _b == 3) or (_a == 3 and _b in _letter) or (_a == 1 and _b == 2) or (_a in _word and _b == 4 and (_c in _word or _c == 4)) or (_a in _letter and _b == 5 and _c == 3)
+    )
+_PART = 1 << 20  # characters that are looked at in one go
+
+
+def open_lines(texts: list[str]) -> list[list[int]]:
+    """Where the lines begin that may hold a credential: those with letters next to digits, mixed
+    case or a sign inside a word, a key block, or part of a name that asks for a secret. All other
+    lines are plain words and numbers that nothing asks for."""
+    joined = "\n".join(texts) + "\n"
+    small = joined.lower()
+    if len(small) != len(joined):
+        small = "".join(c.lower() if len(c.lower()) == 1 else c for c in joined)
+    hits, breaks = [], []
+    for at in range(0, len(joined), _PART):
+        part = np.frombuffer(joined[at : at + _PART + 2].encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        c = _CLASS[np.minimum(part, 128)]
+        hits.append(at + np.flatnonzero(_ODD[c[:-2] * 64 + c[1:-1] * 8 + c[2:]]))
+        breaks.append(at + np.flatnonzero(part[:_PART] == 10))
+    for name in (*_ASKING, _IN_KEY):
+        found, at = [], small.find(name)
+        while at >= 0:
+            found.append(at)
+            at = small.find("\n", at)  # once a line
+            at = small.find(name, at) if at >= 0 else -1
+        hits.append(np.array(found, dtype=np.int64))
+    newline = np.concatenate(breaks)
+    line = np.unique(np.searchsorted(newline, np.concatenate(hits)))
+    starts = np.where(line > 0, newline[np.maximum(line, 1) - 1] + 1, 0)
+    first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    owner = np.searchsorted(first, starts, side="right") - 1
+    bounds = np.searchsorted(owner, np.arange(len(texts) + 1))
+    local = starts - first[owner]
+    return [local[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
 
 
 def shape(token: str) -> str:
@@ -164,28 +208,23 @@ class Tokens:
 
 def read_tokens(texts: list[str | None], every_line: bool = False) -> Tokens:
     """Cuts the texts' lines into tokens. A key block or a value in adjacent string pieces is one
-    token and may go over several lines. Lines without any sign of a value (see `_OPEN`) are left out
+    token and may go over several lines. Lines that are plain words (see `open_lines`) are left out
     unless a name in the line above waits for its value."""
     owner, kinds, starts, ends, about, lengths, lines = [], [], [], [], [], [], []
     seen: dict[tuple[int, str], int] = {}  # kinds and words of these texts, by number
     pem, pieces = _KINDS["pem"], _KINDS["pieces"]
-    for i, whole in enumerate(texts):
-        if not whole:
-            continue
-        text, blocks = _masked(whole)
+    masked = [_masked(t or "") for t in texts]
+    lines_of = None if every_line else open_lines([t for t, _ in masked])
+    for i, (text, blocks) in enumerate(masked):
         done, waits, size = 0, -1, len(text)
+        todo = iter(() if every_line else lines_of[i])
         while done < size:
-            m = None if every_line else _OPEN.search(text, done)
-            if every_line:
-                at = done
-            elif m is None:
-                if waits != done:
+            start = done
+            if not every_line and waits != done:
+                start = next((x for x in todo if x >= done), size)
+                if start >= size:
                     break
-                at = done
-            else:
-                at = done if waits == done else m.start()
-            start = max(text.rfind("\n", 0, at) + 1, done)
-            stop = text.find("\n", at)
+            stop = text.find("\n", start)
             stop = size if stop < 0 else stop
             while stop < size and text[max(start, stop - 40) : stop].rstrip("\r \t").endswith(("\\", "(", " =")):  # goes on in the next line
                 following = text.find("\n", stop + 1)
@@ -322,7 +361,7 @@ def credential_spans(text: Column, model: Crf) -> Column:
                 out += [[{"start_pos": a, "n_chars": b - a} for a, b in x] for x in found]
             yield pd.Series(out, dtype=object)
 
-    return find(text)
+    return find.asNondeterministic()(text)  # not to be run again for a filter on its result
 
 
 def redacted(text: Column, found: Column, mark: str = "[REDACTED]") -> Column:

@@ -84,14 +84,18 @@ class Crf:
 
     def _forward(self, e: np.ndarray, starts: np.ndarray, lengths: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Best score of each last label, and back pointers; `first` is added to the first token."""
-        at, inside = _padded(starts, lengths)
-        best, back = e[at[:, 0]] + first, np.zeros((*at.shape, 3), dtype=np.int8)
-        same = np.arange(3, dtype=np.int8)
-        for t in range(1, at.shape[1]):
-            step = best[:, :, None] + self.moves
-            back[:, t] = np.where(inside[:, t, None], step.argmax(1), same)
-            best = np.where(inside[:, t, None], step.max(1) + e[at[:, t]], best)
-        return best, back
+        order = np.argsort(lengths, kind="stable")
+        s, n = starts[order], lengths[order]
+        best = e[s] + (first[order] if first.ndim == 2 else first)
+        back = np.broadcast_to(np.arange(3, dtype=np.int8), (len(n), n[-1], 3)).copy()
+        for t in range(1, n[-1]):
+            k = int(np.searchsorted(n, t, side="right"))  # chains before k have ended
+            x, y, z = (best[k:, i, None] + self.moves[i] for i in range(3))
+            top = np.maximum(x, y)
+            back[k:, t] = np.where(z > top, 2, y > x)
+            best[k:] = np.maximum(top, z) + e[s[k:] + t]
+        undo = np.argsort(order, kind="stable")
+        return best[undo], back[undo]
 
     @staticmethod
     def _trace(back: np.ndarray, last: np.ndarray) -> np.ndarray:
