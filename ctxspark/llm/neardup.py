@@ -12,13 +12,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ctxspark.runtime import cut_lineage, written
+from ctxspark.runtime import cut_lineage, forget, written
 
-#: A shingle is common if at least one text in so many holds it; others have the full weight.
-COMMON = 256
-#: What fewer texts hold is not common in a small collection either.
-_FEW = 16
-_COUNTERS = 65_536
+#: Counters of the shingles' document frequencies; the same number at every size.
+COUNTERS = 1 << 17
+#: Characters that are cut into shingles in one go.
+_PART = 1 << 19
+
+
+def parts(texts: list[str]) -> Iterator[slice]:
+    """Slices of about `_PART` characters, of one text at least."""
+    first, chars = 0, 0
+    for i, t in enumerate(texts):
+        chars += len(t or "") + 1
+        if chars >= _PART:
+            yield slice(first, i + 1)
+            first, chars = i + 1, 0
+    if first < len(texts):
+        yield slice(first, len(texts))
 
 
 #: The characters of words, and an odd base with its inverse modulo 2**64.
@@ -87,55 +98,43 @@ def distinct_shingles(texts: list[str], size: int, min_words: int = 0) -> tuple[
     return x[at], np.diff(np.append(at, len(x))), np.bincount(owner[at], minlength=len(texts))
 
 
-def common_shingles(texts: DataFrame, size: int, min_words: int) -> tuple[dict[int, int], int]:
-    """Number of texts of each shingle that at least one text in `COMMON` holds, and of all texts.
-
-    There can be no more of them than `COMMON` times the mean number of shingles of a text, whatever
-    the number of texts. First all shingles are counted in a fixed number of counters; then exactly,
-    those whose counter reaches the bound. Both passes count within the task first."""
+def shingle_counts(texts: DataFrame, size: int, min_words: int) -> tuple[np.ndarray, int]:
+    """Document frequencies of all shingles, in `COUNTERS` counters by their hash, and the number of
+    texts. Each task adds up its own counters first; all rows are counted."""
 
-    def count_slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts, n = np.zeros(_COUNTERS, dtype=np.int64), 0
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts, n = np.zeros(COUNTERS, dtype=np.int64), 0
         for batch in batches:
-            s, owner = shingles(batch["text"].tolist(), size, min_words)
-            counts += np.bincount(s & (_COUNTERS - 1), minlength=_COUNTERS)
-            n += len(np.unique(owner))
+            every = batch["text"].tolist()
+            for part in parts(every):
+                s, _, each = distinct_shingles(every[part], size, min_words)
+                counts += np.bincount(s & (COUNTERS - 1), minlength=COUNTERS)
+                n += np.count_nonzero(each)
         slot = np.flatnonzero(counts)
-        yield pd.DataFrame({"slot": np.append(slot, -1), "n": np.append(counts[slot], n)})
-
-    slots = texts.select("text").mapInPandas(count_slots, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
-    rows = slots.toPandas()  # at most _COUNTERS + 1 rows
-    n_texts = int(rows.loc[rows["slot"] == -1, "n"].sum())
-    least = max(_FEW, math.ceil(n_texts / COMMON))
-    full = np.zeros(_COUNTERS, dtype=bool)
-    full[rows.loc[(rows["slot"] >= 0) & (rows["n"] >= least), "slot"].to_numpy(dtype=np.int64)] = True
-
-    def count_exactly(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            s, owner = shingles(batch["text"].tolist(), size, min_words)
-            kept = full[s & (_COUNTERS - 1)]
-            each = pd.DataFrame({"s": s[kept], "owner": owner[kept]}).drop_duplicates()
-            yield each.groupby("s", as_index=False).agg(n=("owner", "size"))
+        yield pd.DataFrame({"slot": np.append(slot, -1).astype(np.int32), "n": np.append(counts[slot], n)})
 
-    exact = texts.select("text").mapInPandas(count_exactly, "s long, n long").groupBy("s").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    return {r.s: r.n for r in exact.collect()}, n_texts
+    rows = texts.select("text").mapInPandas(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most COUNTERS + 1 rows
+    counts, slot, n = np.zeros(COUNTERS, dtype=np.int64), rows["slot"].to_numpy(dtype=np.int64), rows["n"].to_numpy(dtype=np.int64)
+    counts[slot[slot >= 0]] = n[slot >= 0]
+    return counts, int(n[slot < 0].sum())
 
 
 class Weights:
-    """TF-IDF weights of shingles: (1 + ln tf) (1 + ln(n / df) / ln COMMON), the second at most 2;
-    without `repeats`, tf is 1."""
+    """TF-IDF weights of shingles: (1 + ln tf) (1 + ln(n / df) / ln n), the second between 1 and 2;
+    without `repeats`, tf is 1.
+
+    df is a shingle's counter less the mean of the others, which is what the other shingles of the
+    same counter add on average: it is exact in small collections, and in large ones off by a share
+    of n that falls as n grows."""
 
-    def __init__(self, common: dict[int, int], n_texts: int, repeats: bool = True):
+    def __init__(self, counts: np.ndarray, n_texts: int, repeats: bool = True):
         self.repeats = repeats
-        self.known = np.array(sorted(common), dtype=np.int64)
-        df = np.array([common[k] for k in self.known.tolist()], dtype=float)
-        self.idf = 1 + np.clip(np.log(max(n_texts, 1) / np.maximum(df, 1)) / math.log(COMMON), 0, 1)
+        others = (counts.sum() - counts) / (len(counts) - 1)
+        df = np.clip(counts - others, 1, max(n_texts, 1))
+        self.idf = (1 + np.log(max(n_texts, 1) / df) / math.log(max(n_texts, 2))).astype(np.float32)
 
     def of(self, s: np.ndarray, tf: np.ndarray) -> np.ndarray:
-        idf = np.full(len(s), 2.0)
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, s), len(self.known) - 1)
-            idf = np.where(self.known[at] == s, self.idf[at], 2.0)
+        idf = self.idf[s & (len(self.idf) - 1)]
         return (1 + np.log(tf)) * idf if self.repeats else idf
 
 
@@ -158,6 +157,7 @@ def samples(s: np.ndarray, weight: np.ndarray, starts: np.ndarray, n_samples: in
     n_samples x sets array of 32-bit hashes of the sampled (shingle, t). Two sets agree in a sample
     with the probability of their weighted Jaccard similarity."""
     gamma, log_w = _gamma(), np.log(weight).astype(np.float32)
+    log_gamma = np.log(gamma) + np.float32(64)  # the least ln a is far above -64, so that all are positive and ordered as their bits
     low, high = s.astype(np.uint64).astype(np.uint32), (s.view(np.uint64) >> np.uint64(32)).astype(np.uint32)
     out, both = np.empty((n_samples, len(starts)), dtype=np.uint32), np.empty((len(s), 2), dtype=np.uint32)
     for k in range(n_samples):
@@ -169,15 +169,14 @@ def samples(s: np.ndarray, weight: np.ndarray, starts: np.ndarray, n_samples: in
         h ^= h >> np.uint32(16)
         g = (h + key) * np.uint32(0x27D4EB2F)
         g ^= g >> np.uint32(15)
-        fields = gamma[h.view(np.uint16)]
-        r, c = fields[::2], fields[1::2]
+        fields = h.view(np.uint16)
+        r, log_c = gamma[fields[::2]], log_gamma[fields[1::2]]
         beta = g.astype(np.float32) * np.float32(2**-32)
         t = np.floor(log_w / r + beta)
         beta -= t
         beta -= 1
         beta *= r
-        np.exp(beta, out=beta)
-        beta *= c
+        beta += log_c
         both[:, 1] = beta.view(np.uint32)
         np.bitwise_xor(g * np.uint32(0x165667B1), t.astype(np.int32).view(np.uint32) * np.uint32(0x9E3779B1), out=both[:, 0])
         out[k] = np.minimum.reduceat(both.view(np.uint64).ravel(), starts).astype(np.uint32)
@@ -186,9 +185,9 @@ def samples(s: np.ndarray, weight: np.ndarray, starts: np.ndarray, n_samples: in
 
 @dataclass
 class NearDuplicates:
-    """members: source, id, class_id for every row with enough words (one row per id and text; the
-    class is the least id with the same text). links: source, class_a, class_b (class_a < class_b,
-    different texts), weighted, plain (both similarities)."""
+    """members: source, id, c, class_id for every row with enough words (one row per id and text; c is
+    the number of the text, class_id the least id that has it). links: source, a, b (numbers of two
+    different texts), class_a, class_b (their class ids, the smaller first), weighted, plain."""
 
     members: DataFrame
     links: DataFrame
@@ -203,7 +202,7 @@ def near_duplicates(
     similarity: float = 0.8,
     plain_similarity: float = 0.0,
     min_words: int = 12,
-    bands: int = 20,
+    bands: int = 32,
     rows: int = 3,
     bucket: int = 20,
     repeats: bool = True,
@@ -224,21 +223,26 @@ def near_duplicates(
     shingles, of which two texts that are similar enough must share one (prefix filter), which loses
     none of them.
     """
+    key = F.xxhash64("source", F.xxhash64("text"), F.hash("text"))  # one text of a source stands for its copies
     read = records.select(F.col(source).alias("source"), F.col(id).alias("id"), F.col(text).alias("text"))
-    read = read.where("source is not null and id is not null and text is not null")
+    read = read.where("source is not null and id is not null and text is not null").withColumn("c", key)
     min_words = max(min_words, shingle_words)
-    common, n_texts = common_shingles(read, shingle_words, min_words)
-    # what every task needs of the corpus, bounded: see common_shingles
-    shared = records.sparkSession.sparkContext.broadcast(Weights(common, n_texts, repeats))
+    counts, n_texts = shingle_counts(read, shingle_words, min_words)
+    # what every task needs of the corpus: one number for each of COUNTERS counters
+    shared = records.sparkSession.sparkContext.broadcast(Weights(counts, n_texts, repeats))
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
-    def band_keys(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
+    def band_keys(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        """Null for a text without enough words, empty for a copy of an earlier one of the batch."""
+        nothing = np.empty(0, np.int64)
+        for c, batch in batches:
+            first = ~c.duplicated().to_numpy()
+            every, place = batch[first].tolist(), pd.factorize(c)[0]
             out: list = []
-            for i in range(0, len(texts), 500):
-                s, tf, each = distinct_shingles(texts.iloc[i : i + 500].tolist(), shingle_words, min_words)
+            for part in parts(every):
+                s, tf, each = distinct_shingles(every[part], shingle_words, min_words)
                 some = np.flatnonzero(each)
-                part: list = [None] * len(each)
+                keyed: list = [None] * len(each)
                 if len(some):
                     starts = (np.cumsum(each) - each)[some]
                     sig = samples(s, shared.value.of(s, tf), starts, bands * rows).astype(np.uint64).reshape(bands, rows, -1)
@@ -247,59 +251,56 @@ def near_duplicates(
                         for r in range(rows):
                             keys[b] = _mixed(keys[b] * np.uint64(31) + sig[b, r], b * rows + r + 1)
                     for j, x in zip(some.tolist(), np.ascontiguousarray(keys.T).view(np.int64)):
-                        part[j] = x
-                out += part
-            yield pd.Series(out, dtype=object)
-
-    signed = read.select("source", "id", F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), band_keys("text").alias("keys")).where("keys is not null")
-    signed = written(signed)
-    # one text stands for its copies; c is its number in the joins below
-    text_key = ["source", "h1", "h2"]
-    classes = signed.groupBy(*text_key).agg(F.min("id").alias("class_id"), F.any_value("keys").alias("keys")).withColumn("c", F.xxhash64("source", "class_id", "h1", "h2"))
-    ids = signed.select("source", "id", "h1", "h2").distinct()
-    members = ids.join(ids.groupBy(*text_key).agg(F.min("id").alias("class_id")), text_key).select("source", "id", "class_id")
-
-    banded = classes.select("c", F.xxhash64("source").alias("x"), F.explode("keys").alias("k")).select("c", F.expr("k ^ x").alias("k")).repartition("k")
+                        keyed[j] = x
+                out += keyed
+            yield pd.Series([out[p] if f or out[p] is None else nothing for p, f in zip(place.tolist(), first.tolist())], dtype=object)
+
+    signed = written(read.select("source", "id", "c", band_keys("c", "text").alias("keys")).where("keys is not null"))
+    ids = written(signed.select("source", "id", "c").distinct())
+    members = ids.join(ids.groupBy("c").agg(F.min("id").alias("class_id")), "c").select("source", "id", "c", "class_id")
+
+    banded = signed.select("c", F.xxhash64("source").alias("x"), F.explode("keys").alias("k")).select("c", F.expr("k ^ x").alias("k")).repartition("k").distinct()
     # buckets of one text are dropped before anything is joined; all of this shares one exchange
     sizes = banded.groupBy("k").count().where("count > 1")
     shared_keys = written(banded.join(sizes, "k"))
+    forget(signed)
     cool = shared_keys.where(F.col("count") <= bucket)
     any_hot = shared_keys.where(F.col("count") > bucket).limit(1).count() > 0
     pairs = cool.select("k", F.col("c").alias("a")).join(cool.select("k", F.col("c").alias("b")), "k").where("a < b").select("a", "b")
-    texts = read.select(F.xxhash64("source", "id", F.xxhash64("text"), F.hash("text")).alias("c"), "source", "id", "text")
     if any_hot:
         least = max(plain_similarity, similarity / 4)  # weights lie between 1 and 2 for each count
         crowd = shared_keys.where(F.col("count") > bucket).select("c").distinct()
-        pairs = pairs.union(_prefix_pairs(texts.join(crowd, "c", "left_semi"), shingle_words, least))
+        pairs = pairs.union(_prefix_pairs(read.join(crowd, "c", "left_semi"), shingle_words, least))
     pairs = cut_lineage(pairs.distinct())
+    forget(shared_keys)
 
     # texts travel instead of their shingles: they compress
-    right = pairs.join(texts.select(F.col("c").alias("a"), F.col("source").alias("source"), F.col("id").alias("id_a"), F.col("text").alias("text_a")), "a")
+    texts = read.groupBy("c").agg(F.first("source").alias("source"), F.min("id").alias("id"), F.first("text").alias("text"))
+    right = pairs.join(texts.select(F.col("c").alias("a"), "source", F.col("id").alias("id_a"), F.col("text").alias("text_a")), "a")
     both = right.join(texts.select(F.col("c").alias("b"), F.col("source").alias("source_b"), F.col("id").alias("id_b"), F.col("text").alias("text_b")), "b")
-    both = both.where("source = source_b and id_a <> id_b").select(
-        "source", F.least("id_a", "id_b").alias("class_a"), F.greatest("id_a", "id_b").alias("class_b"), "text_a", "text_b"
-    )
+    both = both.where("source = source_b")
 
     @F.pandas_udf(T.StructType([T.StructField("weighted", T.DoubleType()), T.StructField("plain", T.DoubleType())]))
     def compare(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-        parts = [compare_some(left.iloc[i : i + 500], right.iloc[i : i + 500]) for i in range(0, len(left), 500)]
-        return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame({"weighted": [], "plain": []}, dtype=float)
-
-    def compare_some(left: pd.Series, right: pd.Series) -> pd.DataFrame:
-        s, tf, each = distinct_shingles([*left, *right], shingle_words)
-        weight, ends, n = shared.value.of(s, tf), np.cumsum(each), len(left)
-        out = np.zeros((n, 2))
-        for i in range(n):
-            x, y = slice(ends[i] - each[i], ends[i]), slice(ends[n + i] - each[n + i], ends[n + i])
-            _, at, to = np.intersect1d(s[x], s[y], assume_unique=True, return_indices=True)
-            wx, wy = weight[x], weight[y]
-            both = np.minimum(wx[at], wy[to]).sum()
-            out[i] = both / max(wx.sum() + wy.sum() - both, 1e-12), len(at) / max(len(wx) + len(wy) - len(at), 1)
-        return pd.DataFrame(out, columns=["weighted", "plain"])
-
-    links = both.select("source", "class_a", "class_b", compare("text_a", "text_b").alias("x")).select("source", "class_a", "class_b", "x.*")
-    links = links.where((F.col("weighted") >= similarity) & (F.col("plain") >= plain_similarity))
-    return NearDuplicates(members, links.groupBy("source", "class_a", "class_b").agg(F.max("weighted").alias("weighted"), F.max("plain").alias("plain")))
+        return pd.DataFrame(np.concatenate([np.empty((0, 2)), *(compare_some(left.iloc[i : i + 300], right.iloc[i : i + 300]) for i in range(0, len(left), 300))]), columns=["weighted", "plain"])
+
+    def compare_some(left: pd.Series, right: pd.Series) -> np.ndarray:
+        n, scope = len(left), np.uint64(0xC2B2AE3D27D4EB4F)
+        (x, x_tf, x_each), (y, y_tf, y_each) = distinct_shingles(left.tolist(), shingle_words), distinct_shingles(right.tolist(), shingle_words)
+        x_of, y_of = np.repeat(np.arange(n), x_each), np.repeat(np.arange(n), y_each)
+        wx, wy = shared.value.of(x, x_tf), shared.value.of(y, y_tf)
+        own = lambda s, of: s.view(np.uint64) ^ (of.astype(np.uint64) * scope)
+        _, at, to = np.intersect1d(own(x, x_of), own(y, y_of), assume_unique=True, return_indices=True)
+        kept = x_of[at] == y_of[to]
+        at, to = at[kept], to[kept]
+        total = lambda of, w: np.bincount(of, weights=w, minlength=n)
+        both, common = total(x_of[at], np.minimum(wx[at], wy[to])), np.bincount(x_of[at], minlength=n)
+        weighted = both / np.maximum(total(x_of, wx) + total(y_of, wy) - both, 1e-12)
+        return np.stack([weighted, common / np.maximum(x_each + y_each - common, 1)], axis=1)
+
+    links = both.select("source", "a", "b", F.least("id_a", "id_b").alias("class_a"), F.greatest("id_a", "id_b").alias("class_b"), compare("text_a", "text_b").alias("x"))
+    links = links.select("source", "a", "b", "class_a", "class_b", "x.*")
+    return NearDuplicates(members, links.where((F.col("weighted") >= similarity) & (F.col("plain") >= plain_similarity)))
 
 
 def _prefix_pairs(texts: DataFrame, size: int, least: float) -> DataFrame:
@@ -309,26 +310,27 @@ def _prefix_pairs(texts: DataFrame, size: int, least: float) -> DataFrame:
 
     def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            s, _, each = distinct_shingles(batch["text"].tolist(), size)
-            yield pd.DataFrame({"c": np.repeat(batch["c"].to_numpy(), each), "source": np.repeat(batch["source"].to_numpy(), each), "n": np.repeat(each, each), "s": s})
-
-    every = texts.select("c", "source", "text").dropDuplicates(["c"]).mapInPandas(explode, "c long, source string, n long, s long")
-    every = written(every)
-    df = every.groupBy("source", "s").agg(F.count("*").alias("df")).where("df > 1")
+            every = batch["text"].tolist()
+            for part in parts(every):
+                s, _, each = distinct_shingles(every[part], size)
+                yield pd.DataFrame({"c": np.repeat(batch["c"].to_numpy()[part], each), "n": np.repeat(each, each), "s": s ^ np.repeat(batch["x"].to_numpy()[part], each)})
+
+    once = texts.groupBy("c").agg(F.first("text").alias("text"), F.xxhash64(F.first("source")).alias("x"))
+    every = written(once.mapInPandas(explode, "c long, n long, s long"))
+    df = every.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     place = F.row_number().over(Window.partitionBy("c").orderBy(F.coalesce("df", F.lit(1)), "s"))
-    ordered = every.join(df, ["source", "s"], "left").withColumn("place", place)
-    rare = cut_lineage(ordered.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1) & F.col("df").isNotNull()).select("c", "source", "n", "s"))
-    other = rare.select(F.col("c").alias("b"), F.col("n").alias("m"), "s", "source")
+    ordered = every.join(df, "s", "left").withColumn("place", place)
+    rare = cut_lineage(ordered.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * least - 1e-9) + 1) & F.col("df").isNotNull()).select("c", "n", "s"))
+    forget(every)
+    other = rare.select(F.col("c").alias("b"), F.col("n").alias("m"), "s")
     close = (F.col("a") < F.col("b")) & (F.least("n", "m") >= least * F.greatest("n", "m"))
-    return rare.withColumnRenamed("c", "a").join(other, ["s", "source"]).where(close).select("a", "b")
+    return rare.withColumnRenamed("c", "a").join(other, "s").where(close).select("a", "b")
 
 
 def similar_pairs(found: NearDuplicates) -> DataFrame:
     """All pairs of different ids (id_a < id_b) that are linked or have the same text."""
-    crowd = found.members
-    a = crowd.select("source", F.col("class_id").alias("class_a"), F.col("id").alias("x"))
-    b = crowd.select("source", F.col("class_id").alias("class_b"), F.col("id").alias("y"))
-    linked = found.links.select("source", "class_a", "class_b").join(a, ["source", "class_a"]).join(b, ["source", "class_b"]).where("x <> y")
-    linked = linked.select("source", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-    same = a.join(b, (a.source == b.source) & (F.col("class_a") == F.col("class_b")) & (F.col("x") < F.col("y"))).select(a.source, F.col("x").alias("id_a"), F.col("y").alias("id_b"))
+    x = found.members.select("source", F.col("c").alias("a"), F.col("id").alias("x"))
+    y = found.members.select(F.col("c").alias("b"), F.col("id").alias("y"))
+    linked = found.links.select("a", "b").join(x, "a").join(y, "b").where("x <> y").select("source", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
+    same = x.join(y, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("source", F.col("x").alias("id_a"), F.col("y").alias("id_b"))
     return linked.union(same).distinct()

@@ -19,9 +19,9 @@ from ctxspark.runtime import cut_lineage, table
 def _near(spark: SparkSession, sf_dir: str) -> NearDuplicates:
     part = lambda name, key, text: table(spark, sf_dir, name).select(F.lit(name).alias("source"), F.col(key).alias("id"), F.col(text).alias("text"))
     records = part("memory_nodes", "id", "summary").union(part("knowledge_chunks", "chunk_id", "content"))
-    # without repeats, a plain similarity of 0.6 is a weighted one of at least 0.6 / (0.6 + 2 * 0.4) = 0.43, at
-    # which 24 bands of 2 miss less than 1 %; the exact check follows
-    return near_duplicates(records, "source", "id", "text", shingle_words=3, similarity=0.4, plain_similarity=0.6, min_words=12, bands=24, rows=2, repeats=False)
+    # without repeats, weights lie between 1 and 2: a plain similarity of 0.6 is a weighted one of at least
+    # 0.6 / (0.6 + 2 * 0.4) = 0.43, so that the exact check that follows finds no pair cut off
+    return near_duplicates(records, "source", "id", "text", shingle_words=3, similarity=0.4, plain_similarity=0.6, min_words=12, repeats=False)
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,13 +31,10 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups: one row per id, with its class (same text), group and number of links."""
     found = _near(spark, sf_dir)
-    code = lambda c: F.xxhash64("source", c)
-    links = found.links.select("source", "class_a", "class_b", code("class_a").alias("a"), code("class_b").alias("b"))
-    links = cut_lineage(links)
-    degree = links.select("a").union(links.select("b")).groupBy("a").agg(F.count("*").alias("n_links"))
-    crowd = found.members.withColumn("a", code("class_id"))
-    placed = crowd.join(components(links.select("a", "b")).select(F.col("node").alias("a"), "component"), "a", "left").join(degree, "a", "left")
-    placed = placed.select("source", "id", "class_id", F.coalesce("component", "a").alias("g"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    links = cut_lineage(found.links.select("a", "b"))
+    degree = links.select(F.col("a").alias("c")).union(links.select("b")).groupBy("c").agg(F.count("*").alias("n_links"))
+    placed = found.members.join(components(links).select(F.col("node").alias("c"), "component"), "c", "left").join(degree, "c", "left")
+    placed = placed.select("source", "id", "class_id", F.coalesce("component", "c").alias("g"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     names = placed.groupBy("g").agg(F.min("class_id").alias("group_id"))
     return placed.join(names, "g").select(F.col("source").alias("source_table"), "id", "class_id", "group_id", "n_links")
 
@@ -90,7 +87,7 @@ def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     for size, name in capacities.items():
         profile = F.when(F.col("capacity") == size, name).otherwise(profile)
     return packed.select(
-        profile.alias("profile"), "capacity", "container_no", "step_no", F.col("item").cast("long").alias("doc_id"), "part_no", "from_token", "n_tokens", "filled"
+        profile.alias("profile"), "capacity", "container_no", "step_no", F.col("item").cast("long").alias("doc_id"), "part_no", "from_token", "n_tokens", "filled", "tier", "in_gap"
     )
 
 
@@ -104,6 +101,15 @@ def p6_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p6_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Items and tokens of each tier of each profile, and how many of them fill gaps of longer windows."""
+    gap = lambda x: F.sum(F.when(F.col("in_gap"), x).otherwise(0))
+    packed = p6_containers(spark, sf_dir)
+    return packed.groupBy("profile", "capacity", "tier").agg(
+        F.count("*").alias("n_items"), F.sum("n_tokens").alias("n_tokens"), gap(F.lit(1)).alias("items_in_gaps"), gap(F.col("n_tokens")).alias("tokens_in_gaps")
+    )
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> Mix:
     return mix_sources(_sized(spark, sf_dir), table(spark, sf_dir, "mix_targets"), "doc_id", "source", "n_tokens")
 
@@ -142,6 +148,7 @@ QUERIES = {
     "p4_redacted": p4_redacted,
     "p6_containers": p6_containers,
     "p6_filling": p6_filling,
+    "p6_tiers": p6_tiers,
     "p7_mix": p7_mix,
     "p7_documents": p7_documents,
     "p7_shares": p7_shares,

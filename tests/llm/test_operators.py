@@ -46,7 +46,7 @@ def test_near_duplicates_against_brute_force(spark, bucket):
     members = {(r.source, r.id): r.class_id for r in found.members.collect()}
     assert members["x", "copy2"] == members["x", "copy1"] and ("x", "short") not in members
     links = found.links.collect()
-    assert all(r.class_a < r.class_b and 0.4 <= r.weighted <= 1 for r in links)
+    assert all(r.class_a <= r.class_b and 0.4 <= r.weighted <= 1 for r in links)
 
 
 def test_near_duplicates_of_nothing(spark):
@@ -188,11 +188,23 @@ def test_credentials_in_texts(spark):
 
 def test_pack_fits_and_fills():
     rng = np.random.default_rng(2)
-    for capacity in (64, 512):
+    for capacity in (64, 512, 4096):
         sizes = np.minimum(rng.lognormal(4, 1, 3000).astype(int) + 1, capacity)
-        where, n = packing.pack(sizes, capacity, [64, 256, 512])
-        filled = np.bincount(where, weights=sizes, minlength=n)
-        assert filled.max() <= capacity and n <= 1.12 * max(sizes.sum() / capacity, (sizes > capacity / 2).sum()) + 1
+        found = packing.pack(sizes, capacity, [64, 256, 512])
+        filled = np.bincount(found.where, weights=sizes, minlength=found.count)
+        assert filled.max() <= capacity and filled.min() > 0 and (found.where >= 0).all()
+        plain = packing.pack(sizes, capacity, [])
+        assert found.count <= 1.01 * plain.count + 1
+        assert (found.tier >= sizes).all() and set(found.tier) <= {64, 256, 512, capacity}
+        if capacity > 64:
+            assert (found.where != plain.where).any() and found.in_gap.any() and not found.in_gap[found.tier == capacity].any()
+
+
+def test_tiers_have_windows_of_their_own():
+    # one long item leaves a gap of 30: 25 fills it; the other short ones share windows of 40, two to a container
+    found = packing.pack(np.array([70, 25, 20, 20, 20, 20]), 100, [40])
+    assert found.tier.tolist() == [100, 40, 40, 40, 40, 40] and found.in_gap.tolist() == [False, True, False, False, False, False]
+    assert found.where[1] == found.where[0] and found.count == 2
 
 
 def test_fill_containers(spark):
@@ -315,3 +327,26 @@ def test_near_duplicates_of_repeated_blocks(spark, tmp_path):
     spark.createDataFrame([], "chunk_id string, content string").write.parquet(f"{tmp_path}/knowledge_chunks.parquet")
     got = {tuple(r) for r in queries.p1_found(spark, str(tmp_path)).collect()}
     assert got == _pairs([("memory_nodes", *r) for r in rows], 3, 0.6) and len(got) == 12
+
+
+def test_near_duplicates_by_similarity_against_an_exact_count(spark):
+    rng = random.Random(21)
+    rows, sets = [], {}
+    for g in range(150):
+        words = _text(rng, rng.randint(40, 90)).split()
+        for k, share in enumerate((0, 0.02, 0.05, 0.08, 0.11)):
+            rows.append(("x", f"{g:03d}-{k}", " ".join(rng.choice(WORDS) if rng.random() < share else w for w in words)))
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "s string, i string, t string"), "s", "i", "t", shingle_words=3, similarity=0.4, plain_similarity=0.6, repeats=False)
+    got = {tuple(r) for r in neardup.similar_pairs(found).collect()}
+    for low in (0.6, 0.65, 0.7, 0.8, 0.9):
+        true = _pairs(rows, 3, low) - (_pairs(rows, 3, low + 0.1) if low < 0.9 else set())
+        assert len(true) > 20 and len(got & true) >= 0.95 * len(true), low
+
+
+def test_texts_that_share_an_id_keep_their_links(spark):
+    rng = random.Random(22)
+    words = _text(rng, 60).split()
+    near = " ".join(words[:-1] + ["zzz"])
+    rows = [("x", "1", " ".join(words)), ("x", "5", " ".join(words)), ("x", "1", near), ("x", "7", near)]
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "s string, i string, t string"), "s", "i", "t")
+    assert {tuple(r)[1:] for r in neardup.similar_pairs(found).collect()} == {("1", "5"), ("1", "7"), ("5", "7")}
