@@ -46,8 +46,8 @@ def _forest(tree_nodes: DataFrame, outline: DataFrame) -> tuple[DataFrame, DataF
     return nodes, links.unionByName(outline.select(part(doc, i).alias("child"), part(doc, up).alias("parent")))
 
 
-def _walked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return hierarchies(*_forest(table(spark, sf_dir, "tree_nodes"), table(spark, sf_dir, "raw_propositions")))
+def _walked(spark: SparkSession, sf_dir: str, paths: bool = True) -> DataFrame:
+    return hierarchies(*_forest(table(spark, sf_dir, "tree_nodes"), table(spark, sf_dir, "raw_propositions")), paths=paths)
 
 
 def _named(key: str) -> tuple:
@@ -57,7 +57,7 @@ def _named(key: str) -> tuple:
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     tree, node = _named("key")
-    return _walked(spark, sf_dir).select(tree.alias("tree"), node.alias("node_key"), _named("root_key")[1].alias("root_key"), "depth")
+    return _walked(spark, sf_dir, paths=False).select(tree.alias("tree"), node.alias("node_key"), _named("root_key")[1].alias("root_key"), "depth")
 
 
 def p5_paths(spark: SparkSession, sf_dir: str) -> DataFrame:

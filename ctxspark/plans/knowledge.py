@@ -108,15 +108,15 @@ def node_evidence(spark: SparkSession, d: str) -> DataFrame:
     return nodes.join(per, nodes.id == per.memory_node_id, "left").select("id", F.coalesce("evidence", F.lit("")).alias("evidence"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"))
 
 
-def _tree(spark: SparkSession, d: str) -> DataFrame:
+def _tree(spark: SparkSession, d: str, paths: bool = True) -> DataFrame:
     nodes = _nodes(spark, d)
-    return hierarchies(nodes.select(F.col("id").alias("key")), nodes.select(F.col("id").alias("child"), F.col("parent_id").alias("parent")))
+    return hierarchies(nodes.select(F.col("id").alias("key")), nodes.select(F.col("id").alias("child"), F.col("parent_id").alias("parent")), paths=paths)
 
 
 def tree_paths(spark: SparkSession, d: str) -> DataFrame:
     """True depth and root of each note by its parent, beside the depth it claims; notes on or below a circle have none."""
     claimed = _nodes(spark, d).select(F.col("id").alias("key"), F.col("depth").alias("claimed"))
-    return _tree(spark, d).where("depth >= 0").select("key", "root_key", "depth", "n_descendants").join(claimed, "key").withColumnRenamed("key", "id")
+    return _tree(spark, d, paths=False).where("depth >= 0").select("key", "root_key", "depth", "n_descendants").join(claimed, "key").withColumnRenamed("key", "id")
 
 
 def inspect_children(spark: SparkSession, d: str) -> DataFrame:

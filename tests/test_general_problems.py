@@ -108,3 +108,21 @@ def test_hierarchies(spark, largest):
 def test_hierarchies_of_nothing(spark):
     empty = spark.createDataFrame([], "key string"), spark.createDataFrame([], "child string, parent string")
     assert hierarchies(*empty).collect() == [] and NODE_SCHEMA
+
+
+@pytest.mark.parametrize("largest", [200_000, 1000])
+def test_a_chain_of_any_length(spark, largest):
+    n = 200_000 if largest == 200_000 else 3000
+    nodes = spark.range(n).selectExpr("format_string('k%07d', id) as key")
+    links = spark.range(1, n).selectExpr("format_string('k%07d', id) as child", "format_string('k%07d', id - 1) as parent")
+    got = hierarchies(nodes, links, largest=largest, paths=False)
+    assert "path" not in got.columns
+    wrong = got.where(f"root_key <> 'k0000000' or depth <> int(substring(key, 2)) or n_descendants <> {n - 1} - depth or back_edge")
+    assert got.count() == n and wrong.count() == 0
+
+
+def test_long_paths_are_not_gathered_in_one_task(spark):
+    nodes = spark.range(300).selectExpr("format_string('k%03d', id) as key")
+    links = spark.range(1, 300).selectExpr("format_string('k%03d', id) as child", "format_string('k%03d', id - 1) as parent")
+    got = {r.key: r for r in hierarchies(nodes, links, longest=1000).collect()}
+    assert got["k299"].path == [f"k{i:03d}" for i in range(300)] and got["k010"].n_descendants == 289 and len(got) == 300
