@@ -178,7 +178,8 @@ def mix_sources(
 
     slot_no = F.row_number().over(Window.partitionBy("shard_no").orderBy("s", "j"))
     chosen = slots.withColumn("slot_no", slot_no).withColumn("b", block_of("s", "j")).select("shard_no", "slot_no", "b.*")
-    out = chosen.join(parts, ["source", "block_no"]).select("shard_no", "slot_no", "source", "repeat_no", "block_no", "item", "from_token", "n_tokens")
+    # both sides grow with the data: a sort-merge join, whatever their sizes are now
+    out = chosen.join(parts.hint("merge"), ["source", "block_no"]).select("shard_no", "slot_no", "source", "repeat_no", "block_no", "item", "from_token", "n_tokens")
     used = out.groupBy("source").agg(F.sum("n_tokens").alias("used_tokens"), F.max("repeat_no").alias("most_repeats"))
     rows = [
         (n, float(w), int(m), int(t), bool(q < w / max(plan["weight"].sum(), 1e-300) * slots_total - 1))
