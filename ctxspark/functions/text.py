@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that are no terms of the bag-of-words model.
-STOP_WORDS = (
-    "a an the is in it of to and or for be on at as by with that this was are from its i we they not no but if has "
-    "have had do did will would should could been more into also when what which so"
-).split()
+STOP_WORDS = [
+    "a", "an", "the", "is", "in", "it", "of", "to", "and", "or", "for", "be", "on", "at", "as", "by", "with", "that", "this", "was", "are", "from", "its", "i", "we", "they", "not", "no", "but", "if", "has",
+    "have", "had", "do", "did", "will", "would", "should", "could", "been", "more", "into", "also", "when", "what", "which", "so",
+]
 
 #: Words that are no keywords of a request.
-KEYWORD_STOPS = "the and for that this with from have not are its was has been will can but what how does any add fix get let use set put run out our all new".split()
+KEYWORD_STOPS = [
+    "the", "and", "for", "that", "this", "with", "from", "have", "not", "are", "its", "was", "has", "been", "will", "can", "but", "what", "how", "does", "any", "add", "fix", "get", "let", "use", "set", "put", "run", "out", "our", "all", "new",
+]
 
 #: The ordered patterns of redaction (Java syntax, applied one after another).
 REDACTIONS = [
@@ -29,11 +33,11 @@ REDACTIONS = [
 
 #: Opposing words; texts on both sides of a row contradict each other.
 OPPOSITES = [
-    ("must always required mandatory never", "optional may can allowed sometimes"),
-    ("synchronous blocking sequential", "asynchronous async concurrent parallel"),
-    ("immutable readonly constant", "mutable writable modifiable"),
-    ("deprecated removed deleted", "active current supported"),
-    ("atomic transaction rollback", "eventual best-effort idempotent"),
+    (["must", "always", "required", "mandatory", "never"], ["optional", "may", "can", "allowed", "sometimes"]),
+    (["synchronous", "blocking", "sequential"], ["asynchronous", "async", "concurrent", "parallel"]),
+    (["immutable", "readonly", "constant"], ["mutable", "writable", "modifiable"]),
+    (["deprecated", "removed", "deleted"], ["active", "current", "supported"]),
+    (["atomic", "transaction", "rollback"], ["eventual", "best-effort", "idempotent"]),
 ]
 
 
@@ -49,6 +53,82 @@ def terms(text: Column) -> Column:
     return F.filter(found, lambda w: (F.length(w) > 1) & ~w.isin(STOP_WORDS))
 
 
+def _accents() -> tuple[str, str]:
+    """Letters with accents and the letters without, by canonical decomposition: Latin, Greek, Cyrillic."""
+    pairs = []
+    for code in [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]:
+        base = unicodedata.normalize("NFD", chr(code))
+        if len(base) > 1 and all(unicodedata.combining(c) for c in base[1:]):
+            pairs.append((chr(code), base[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+_ACCENTED, _PLAIN = _accents()
+
+#: Characters that a search request drops, and words that are its operators.
+REQUEST_DROPS, REQUEST_OPERATORS = '"-:()^*~', ["and", "or", "not"]
+
+
+def folded(text: Column) -> Column:
+    """Lower case without accents."""
+    return F.regexp_replace(F.translate(F.lower(text), _ACCENTED, _PLAIN), r"[\u0300-\u036f]", "")
+
+
+def lexical_terms(text: Column) -> Column:
+    """Terms of the lexical index, with repeats: runs of letters and digits of any script, lower case
+    and without accents; `_` parts words. Terms are not stemmed."""
+    return F.regexp_extract_all(folded(text), F.lit(r"([\p{L}\p{N}]+)"), 1)
+
+
+def request_terms(text: Column) -> Column:
+    """Terms that a request asks for, any of which may match: its words without the characters of the
+    query language, less its operators."""
+    words = F.split(F.translate(text, REQUEST_DROPS, ""), r"\s+")
+    kept = F.filter(words, lambda w: ~F.lower(w).isin(REQUEST_OPERATORS))
+    return F.array_distinct(lexical_terms(F.array_join(kept, " ")))
+
+
+def snippet(text: Column, wanted: Column, words: int = 20) -> Column:
+    """`words` words of the text around the first that contains a wanted term; the beginning if none does."""
+    each = F.split(F.trim(text), r"\s+")
+    at = F.coalesce(F.array_min(F.filter(F.transform(wanted, lambda t: F.array_position(F.transform(each, lambda w: F.try_element_at(lexical_terms(w), F.lit(1))), t)), lambda p: p > 0)), F.lit(1))
+    return F.array_join(F.slice(each, F.greatest(at.cast("int") - words // 2, F.lit(1)), words), " ")
+
+
+def first_sentence(text: Column) -> Column:
+    """The text's stripped lines on one line, up to a sentence's end before a capital."""
+    lines = F.filter(F.transform(F.split(text, r"\r?\n"), F.trim), lambda x: x != "")
+    return F.trim(F.element_at(F.split(F.array_join(lines, " "), r"(?<=[.!?])\s+(?=[A-Z])", 2), 1))
+
+
+def hashed_terms(text: Column, buckets: int = 384) -> Column:
+    """A vector of `buckets` numbers: counts of the text's terms by hash, of length 1 (all 0 for none)."""
+    slots = F.transform(terms(text), lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)))
+    counts = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.size(F.filter(slots, lambda x: x == i)).cast("double"))
+    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
+    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+
+
+#: How reliable a kind of source is; a path that has the name of one counts as it.
+SOURCE_QUALITY = {"adr": 1.0, "architecture_doc": 0.95, "api_spec": 0.9, "readme": 0.85, "code_file": 0.8, "test_report": 0.75, "manual_note": 0.7, "markdown": 0.7, "task_artifact": 0.65, "code_comment": 0.65, "git_diff": 0.6, "runtime_log": 0.5}
+
+
+def source_quality(kind: Column) -> Column:
+    """Quality of a kind of source, 0.5 if unknown."""
+    worth: Column = F.lit(0.5)
+    for name, x in SOURCE_QUALITY.items():
+        worth = F.when(kind == name, x).otherwise(worth)
+    return worth
+
+
+def path_quality(path: Column) -> Column:
+    """Quality of a source by the first kind its path names, else 0.7 for code and 0.6; 0.5 without a path."""
+    worth: Column = F.when(F.lower(F.regexp_extract(path, r"([^.]*)$", 1)).isin("py", "ts", "js"), 0.7).otherwise(0.6)
+    for name, x in reversed(SOURCE_QUALITY.items()):
+        worth = F.when(F.contains(F.lower(path), F.lit(name)), x).otherwise(worth)
+    return F.when(F.coalesce(path, F.lit("")) == "", 0.5).otherwise(worth)
+
+
 def keywords(text: Column, most: int = 20) -> Column:
     """The first `most` distinct keywords of a request, in order."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"(\b[a-z]\w*\b)"), 1)
@@ -74,7 +154,7 @@ def token_estimate(text: Column) -> Column:
 
 def module_prefixes(path: Column) -> Column:
     """Dotted module of a path and all its prefixes, shortest first."""
-    parts = F.split(F.regexp_replace(F.regexp_replace(F.rtrim(path), r"[/\\]", "."), r"\.py$", ""), r"\.")
+    parts = F.split(F.regexp_replace(F.regexp_replace(F.regexp_replace(path, "/+$", ""), r"[/\\]", "."), r"\.py$", ""), r"\.")
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))
 
 
@@ -100,8 +180,35 @@ def redact(text: Column) -> tuple[Column, Column]:
 def contradicts(a: Column, b: Column) -> Column:
     """Whether one text has a word of one side of an opposition and the other text one of its other side."""
     x, y = word_set(a, 0), word_set(b, 0)
-    has = lambda words, side: F.arrays_overlap(words, F.array(*[F.lit(w) for w in side.split()]))
+    has = lambda words, side: F.arrays_overlap(words, F.array(*[F.lit(w) for w in side]))
     either: Column = F.lit(False)
     for one, other in OPPOSITES:
         either = either | (has(x, one) & has(y, other)) | (has(y, one) & has(x, other))
     return either
+
+
+#: States that a search leaves out unless it asks for them, and scopes that all branches see.
+HIDDEN_STATES, SHARED_SCOPES = ["stale", "archived", "superseded", "deleted"], ["global", "mainline"]
+
+
+def visible_rows(state: str, kind: str, branch_name: str, branch_scope: str, kinds: list[str] | None = None, branch: str | None = None, states: list[str] | None = None) -> Column:
+    """Whether a search may see a row: its state is one of `states` (any but the hidden ones if null),
+    its kind one of `kinds` (any if null), and, where a branch is given, the row belongs to that
+    branch, to none, or to all."""
+    shown = F.col(state).isin(states) if states is not None else F.coalesce(~F.col(state).isin(HIDDEN_STATES), F.lit(True))
+    if kinds is not None:
+        shown = shown & F.col(kind).isin(kinds)
+    if branch is not None:
+        shown = shown & (F.col(branch_name).isNull() | (F.col(branch_name) == branch) | F.col(branch_scope).isNull() | F.col(branch_scope).isin(SHARED_SCOPES))
+    return shown
+
+
+def preview(text: Column, chars: int = 400) -> Column:
+    """The text's first characters, with a mark if there are more."""
+    return F.when(F.length(text) > chars, F.concat(F.regexp_replace(F.substring(text, 1, chars), r"\s+$", ""), F.lit("\u2026"))).otherwise(text)
+
+
+def result_title(title: Column, headings: Column) -> Column:
+    """A hit's title: its document's (`Unknown` without one), and the headings above it if they say more."""
+    doc, path = F.coalesce(title, F.lit("Unknown")), F.coalesce(F.array_join(headings, " > "), F.lit(""))
+    return F.when((path == "") | (path == doc), doc).otherwise(F.concat(doc, F.lit(": "), path))

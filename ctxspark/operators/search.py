@@ -2,57 +2,64 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ctxspark.functions.text import terms
+from ctxspark.functions.text import module_prefixes, request_terms, source_quality, terms
 
 
-def postings(texts: DataFrame, scope: str, id: str, text: str) -> DataFrame:
-    """(scope, id, term, tf, dl): term counts of each text and its number of terms."""
-    found = texts.select(F.col(scope).alias("scope"), F.col(id).alias("id"), terms(F.col(text)).alias("terms"))
+def postings(texts: DataFrame, scope: str, id: str, text: str, words: Callable[[Column], Column] = terms) -> DataFrame:
+    """(scope, id, term, tf, dl): term counts of each text and its number of terms. `words` gives a
+    text's terms: those of the bag-of-words model, or `lexical_terms` for `bm25`."""
+    found = texts.select(F.col(scope).alias("scope"), F.col(id).alias("id"), words(F.col(text)).alias("terms"))
     each = found.select("scope", "id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
     return each.groupBy("scope", "id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def _ranked(scores: DataFrame, k: int) -> DataFrame:
-    """The k best of each request; ties by id, so that the order is total."""
-    w = Window.partitionBy("request").orderBy(F.desc("score"), "id")
+def _ranked(scores: DataFrame, k: int, *also: str) -> DataFrame:
+    """The k best of each request (and of what else is named); ties by id, so that the order is total."""
+    w = Window.partitionBy("request", *also).orderBy(F.desc("score"), "id")
     return scores.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def bm25(index: DataFrame, requests: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+def bm25(index: DataFrame, requests: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, slices: int = 16) -> DataFrame:
     """The k best texts of each request by BM25 (request, id, score, rank), any term matching.
 
-    index: from `postings`. requests: request, scope, text. Statistics are those of the request's
-    scope; the weight of a term that more than half of the texts have is 1e-6. Requests without
-    terms, or whose terms occur nowhere in the scope, give no row. Only postings of asked terms are
-    shuffled to the requests."""
-    asked = requests.select("request", "scope", F.explode(F.array_distinct(terms(F.col("text")))).alias("term"))
+    index: from `postings` with `lexical_terms`. requests: request, scope, text. Statistics are those
+    of the request's scope; the weight of a term that more than half of the texts have is 1e-6.
+    Requests without terms, or whose terms occur nowhere in the scope, give no row.
+
+    Only postings of asked terms are shuffled to the requests, and those of a term lie in `slices`
+    parts by text, so that the postings of a common term in a large scope are not one key. A request
+    meets each part on its own and keeps its k best there: a text's score is whole within its part."""
+    asked = requests.select("request", "scope", F.explode(request_terms(F.col("text"))).alias("term")).distinct()
     stats = index.select("scope", "id", "dl").distinct().groupBy("scope").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     wanted = index.join(asked.select("scope", "term").distinct(), ["scope", "term"], "left_semi")
     df = wanted.groupBy("scope", "term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighted = (
-        wanted.join(df.join(stats, "scope"), ["scope", "term"])
-        .withColumn("idf", F.when(idf > 0, idf).otherwise(1e-6))
-        .select("scope", "term", "id", (F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))).alias("w"))
-    )
-    scores = asked.join(weighted, ["scope", "term"]).groupBy("request", "id").agg(F.round(F.sum("w"), 6).alias("score"))
-    return _ranked(scores, k)
+    weighed = df.join(stats, "scope").select("scope", "term", "avgdl", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
+    terms_ = asked.join(weighed, ["scope", "term"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    sliced = wanted.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
+    weight = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    scores = terms_.join(sliced, ["scope", "term", "part"]).groupBy("request", "part", "id").agg(F.round(F.sum(weight), 6).alias("score"))
+    return _ranked(_ranked(scores, k, "part").select("request", "id", "score"), k)
 
 
-def cosine_terms(index: DataFrame, requests: DataFrame, k: int = 10) -> DataFrame:
+def cosine_terms(index: DataFrame, requests: DataFrame, k: int = 10, slices: int = 16) -> DataFrame:
     """The k best texts of each request by the cosine of term counts (request, id, score, rank).
-    Texts without a common term have the score 0 and are left out."""
+    Texts without a common term have the score 0 and are left out. Postings lie in parts as in `bm25`."""
     asked = requests.select("request", "scope", F.explode(terms(F.col("text"))).alias("term")).groupBy("request", "scope", "term").agg(F.count("*").alias("q"))
     q_norm = asked.groupBy("request").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qn"))
     d_norm = index.groupBy("scope", "id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("dn"))
-    dots = asked.join(index, ["scope", "term"]).groupBy("request", "scope", "id").agg(F.sum(F.col("q") * F.col("tf")).alias("dot"))
-    scores = dots.join(q_norm, "request").join(d_norm, ["scope", "id"]).select("request", "id", F.round(F.col("dot") / (F.col("qn") * F.col("dn")), 6).alias("score"))
-    return _ranked(scores, k)
+    parts = asked.join(q_norm, "request").withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    sliced = index.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int"))
+    dots = parts.join(sliced, ["scope", "term", "part"]).groupBy("request", "scope", "part", "qn", "id").agg(F.sum(F.col("q") * F.col("tf")).alias("dot"))
+    scores = dots.join(d_norm, ["scope", "id"]).select("request", "part", "id", F.round(F.col("dot") / (F.col("qn") * F.col("dn")), 6).alias("score"))
+    return _ranked(_ranked(scores, k, "part").select("request", "id", "score"), k)
 
 
 def nearest_vectors(vectors: DataFrame, queries: DataFrame, id: str, vector: str, k: int = 10, block: int = 4096) -> DataFrame:
@@ -102,6 +109,48 @@ def reciprocal_ranks(*lists: DataFrame, k: int = 60, weights: list[float] | None
     return fused.withColumn("rank", F.row_number().over(Window.partitionBy("request").orderBy(F.desc("score"), "id")))
 
 
+#: Weights of a chunk's signals; the last has the value 0.5 until evidence is linked.
+CHUNK_WEIGHTS = {"vector": 0.30, "lexical": 0.25, "module": 0.15, "symbol": 0.10, "fresh": 0.10, "quality": 0.05, "evidence": 0.05}
+
+
+def hybrid(lexical: DataFrame, vector: DataFrame, chunks: DataFrame, requests: DataFrame, k: int = 10, source_types: list[str] | None = None) -> DataFrame:
+    """The k best chunks of each request by seven weighted signals (request, id, score, rank).
+
+    lexical, vector: ranked hits (request, id, rank, score) of the two searches. chunks: chunk_id,
+    content, source_type, index_status, module_paths, related_symbols. requests: request, files,
+    symbols (arrays; null is empty). Stale chunks, chunks without content, and those of other types
+    than `source_types` are dropped; of chunks that begin with the same 200 characters the best stays."""
+    lex = lexical.select("request", "id", (2 / (60 + F.col("rank") - 1)).alias("lexical"))
+    vec = vector.select("request", "id", F.col("score").alias("vector"))
+    hits = lex.join(vec, ["request", "id"], "full_outer").na.fill(0.0, ["lexical", "vector"])
+    kept = chunks.where("index_status <> 'stale' and content <> ''")
+    if source_types is not None:
+        kept = kept.where(F.col("source_type").isin(source_types))
+    empty = F.array().cast("array<string>")
+    asked = requests.select(
+        "request",
+        F.array_distinct(F.flatten(F.transform(F.coalesce("files", empty), module_prefixes))).alias("q_modules"),
+        F.array_distinct(F.transform(F.coalesce("symbols", empty), F.lower)).alias("q_symbols"),
+    )
+    both = hits.join(kept.withColumnRenamed("chunk_id", "id"), "id").join(asked, "request")
+    share = lambda own, theirs: F.coalesce(F.try_divide(F.size(F.array_intersect(own, theirs)), F.size(F.array_distinct(own))), F.lit(0.0))
+    signals = {
+        "vector": F.col("vector"),
+        "lexical": F.col("lexical"),
+        "module": share(F.coalesce("module_paths", empty), F.col("q_modules")),
+        "symbol": share(F.transform(F.coalesce("related_symbols", empty), F.lower), F.col("q_symbols")),
+        "fresh": F.when(F.col("index_status") == "indexed", 0.9).otherwise(0.2),
+        "quality": source_quality(F.col("source_type")),
+        "evidence": F.lit(0.5),
+    }
+    score: Column = F.lit(0.0)
+    for name, weight in CHUNK_WEIGHTS.items():
+        score = score + weight * signals[name]
+    scored = both.select("request", "id", "content", F.round(score, 4).alias("score"))
+    unique = first_by_prefix(scored, ["request"], "content", 200, [F.desc("score"), F.col("id")])
+    return _ranked(unique.select("request", "id", "score"), k)
+
+
 def normalized_scores(hits: DataFrame, by: list[str], score: str, name: str) -> DataFrame:
     """Scores scaled to 0..1 within each group; 1 where all are equal."""
     w = Window.partitionBy(*by)
