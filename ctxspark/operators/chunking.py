@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ctxspark.functions.text import normalized
+from ctxspark.functions.text import first_sentence, normalized
 
 #: Most tokens of a section, a code block and a log window.
 SECTION_TOKENS, CODE_TOKENS, LOG_TOKENS = 1200, 1000, 600
@@ -103,35 +103,55 @@ def diff_chunks(docs: DataFrame, id: str, text: str) -> DataFrame:
 
 
 def log_windows(docs: DataFrame, id: str, text: str, around: int = 3) -> DataFrame:
-    """(id, start_line, end_line, content): stretches of lines within `around` lines of an error or
-    warning. Logs without any give no row."""
-    lines = docs.where(F.col(text).isNotNull()).select(id, F.posexplode(F.split(F.col(text), r"\r?\n")).alias("i", "line"))
+    """(id, start_line, end_line, part_no, content): stretches of lines within `around` lines of an
+    error or warning, those of more than 600 tokens cut at their blank lines. A log without any is one
+    piece without line numbers; null and blank texts give no row."""
+    known = docs.where(F.col(text).isNotNull())
+    lines = known.select(id, F.posexplode(F.split(F.col(text), r"\r?\n")).alias("i", "line"))
     error = F.col("line").rlike(r"(?i)ERROR|WARN|CRITICAL|EXCEPTION|Traceback").cast("int")
     near = F.max(error).over(Window.partitionBy(id).orderBy("i").rowsBetween(-around, around))
     kept = lines.withColumn("near", near).where("near = 1")
     island = kept.withColumn("island", F.col("i") - F.row_number().over(Window.partitionBy(id).orderBy("i")))
     text_of = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "line"))), lambda x: x["line"]), "\n")
-    return (
-        island.groupBy(id, "island")
-        .agg((F.min("i") + 1).alias("start_line"), (F.max("i") + 1).alias("end_line"), text_of.alias("content"))
-        .select(id, "start_line", "end_line", "content")
-    )
+    windows = island.groupBy(id, "island").agg((F.min("i") + 1).alias("start_line"), (F.max("i") + 1).alias("end_line"), text_of.alias("content"))
+    quiet = known.where(~F.col(text).rlike(r"(?i)ERROR|WARN|CRITICAL|EXCEPTION|Traceback"))
+    none = F.lit(None).cast("int")
+    every = windows.select(id, "start_line", "end_line", "content").unionByName(quiet.select(id, none.alias("start_line"), none.alias("end_line"), F.col(text).alias("content")))
+    # only windows are cut: a log without any stays whole
+    pieces = F.when(F.col("start_line").isNull(), F.array(stripped(F.col("content")))).otherwise(packed(stripped(F.col("content")), LOG_TOKENS))
+    return every.select(id, "start_line", "end_line", F.posexplode(F.filter(pieces, lambda x: x != "")).alias("part_no", "content"))
 
 
-def statements(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, kind, statement, normalized, confidence): bullets (0.72) and numbered items (0.70) that
-    say something, classified by the first matching kind; one row per document and normalized text.
+def _worthless(text: Column) -> Column:
+    return ~F.length(text).between(12, 350) | text.rlike(r"^(?:import|from)\s+\w") | text.rlike(r"^[\s\d.,;:!?()-]+$")
 
-    Too short (under 12) or too long (over 350 characters) items, imports, and items of punctuation
-    and numbers alone are dropped."""
-    items = lambda rule, base: F.transform(F.regexp_extract_all(F.col(text), F.lit(rule), 1), lambda x: F.struct(stripped(x).alias("s"), F.lit(base).alias("base")))
-    both = F.concat(items(r"(?md)^[ \t]*[-*•][ \t]+([^\n]+)", 0.72), items(r"(?md)^[ \t]*\d+[.)][ \t]+([^\n]+)", 0.70))
-    each = docs.where(F.col(text).isNotNull()).select(id, F.explode(both).alias("x")).select(id, "x.s", "x.base")
-    each = each.where(F.length("s").between(12, 350) & ~F.col("s").rlike(r"^(?:import|from)\s+\w") & ~F.col("s").rlike(r"^[\s\d.,;:!?()-]+$"))
+
+def classified(each: DataFrame, id: str, cap: float) -> DataFrame:
+    """(id, kind, statement, normalized, confidence) of (id, s, base, fixed): what says nothing is
+    dropped, the rest is classified by the first matching kind unless it has a fixed one; one row per
+    document and normalized text, the surest."""
     kind, delta = F.lit("implementation_detail"), F.lit(0.0)
     for name, more, rule in reversed(STATEMENT_KINDS):
         hit = F.col("s").rlike(rule)
         kind, delta = F.when(hit, name).otherwise(kind), F.when(hit, more).otherwise(delta)
-    named = each.select(id, kind.alias("kind"), F.col("s").alias("statement"), normalized(F.col("s")).alias("normalized"), F.round(F.least(F.col("base") + delta, F.lit(0.95)), 2).alias("confidence"))
-    best = F.max_by(F.struct("kind", "statement", "confidence"), F.struct("confidence", "statement"))
+    sure = F.when(F.col("fixed").isNotNull(), F.col("base")).otherwise(F.least(F.col("base") + delta, F.lit(cap)))
+    named = each.where(~_worthless(F.col("s"))).select(id, F.coalesce("fixed", kind).alias("kind"), F.col("s").alias("statement"), normalized(F.col("s")).alias("normalized"), F.round(sure, 2).alias("confidence"))
+    best = F.max_by(F.struct("kind", "statement", "confidence"), F.struct("confidence", "statement", "kind"))
     return named.groupBy(id, "normalized").agg(best.alias("b")).select(id, "b.kind", "b.statement", "normalized", "b.confidence")
+
+
+def statements(docs: DataFrame, id: str, text: str) -> DataFrame:
+    """(id, kind, statement, normalized, confidence): first sentences of bullets (0.72), of numbered
+    items (0.70) and of other lines that forbid, demand or protect something (0.68); one row per
+    document and normalized text.
+
+    Items too short (under 12) or too long (over 350 characters), imports, and items of punctuation
+    and numbers alone are dropped."""
+    items = lambda rule, base: F.transform(F.regexp_extract_all(F.col(text), F.lit(rule), 1), lambda x: F.struct(stripped(x).alias("s"), F.lit(base).alias("base")))
+    rules = {name: rule for name, _, rule in STATEMENT_KINDS}
+    lines = F.filter(F.transform(F.split(F.col(text), r"\r?\n"), stripped), lambda x: ~x.rlike(r"^(?:[#*•-]|$)") & (x.rlike(rules["constraint"]) | x.rlike(rules["security_rule"])))
+    prose = F.transform(lines, lambda x: F.struct(x.alias("s"), F.lit(0.68).alias("base")))
+    every = F.concat(items(r"(?md)^[ \t]*[-*•][ \t]+([^\n]+)", 0.72), items(r"(?md)^[ \t]*\d+[.)][ \t]+([^\n]+)", 0.70), prose)
+    each = docs.where(F.col(text).isNotNull()).select(id, F.explode(every).alias("x")).select(id, "x.s", "x.base")
+    kept = each.where((F.col("base") == 0.68) | ~_worthless(F.col("s")))
+    return classified(kept.select(id, first_sentence(F.col("s")).alias("s"), "base", F.lit(None).cast("string").alias("fixed")), id, 0.95)

@@ -18,9 +18,12 @@ def likely_duplicates(candidates: DataFrame, nodes: DataFrame, least: float = 0.
 
     Both: id, project_id, kind, module_path, title, summary. Score: 0.6 max(title similarity,
     0.8 similarity of title and first 200 characters of the summary) + 0.2 same kind + 0.2 share of
-    the candidate's module words in the note's; kept from `least` on, near from 0.8. A pair that
-    reaches 0.5 shares a word of the extended titles, so the join on those words loses nothing; only
-    words and ids are joined, and a pair's sets are compared once."""
+    the candidate's module words in the note's; kept from `least` on, near from 0.8.
+
+    Two word sets of similarity t share one of the n - ceil(t n) + 1 rarest words of each. A pair of
+    different kinds, or without a common module word, needs similarities so high that few words are
+    joined; all other pairs are joined on kind and module word as well. So nothing is lost, and
+    common words are no keys. Only words and ids are joined, and a pair's sets are compared once."""
     if least <= 0.4:
         raise ValueError("the join on words is complete only above 0.4")
 
@@ -32,11 +35,35 @@ def likely_duplicates(candidates: DataFrame, nodes: DataFrame, least: float = 0.
         )
 
     a, b = words(candidates, "a"), words(nodes, "b")
-    pairs = a.select("id_a", "project_id", F.explode("e_a").alias("w")).join(b.select("id_b", "project_id", F.explode("e_b").alias("w")), ["project_id", "w"])
-    pairs = pairs.where("id_a <> id_b").select("id_a", "id_b").distinct()
+    strong, weak = (least - 0.2) / 0.6, (least - 0.4) / 0.6
+
+    def placed(df: DataFrame, suffix: str, df_of: DataFrame | None) -> DataFrame:
+        """(id, project, kind, modules, set, word, place, n): words of both sets, the rarest first."""
+        sets = F.array(F.struct(F.lit("t").alias("set"), F.col(f"t_{suffix}").alias("w")), F.struct(F.lit("e").alias("set"), F.col(f"e_{suffix}").alias("w")))
+        each = df.select(F.col(f"id_{suffix}").alias("id"), "project_id", F.col(f"kind_{suffix}").alias("kind"), F.col(f"m_{suffix}").alias("m"), F.explode(sets).alias("s"))
+        each = each.select("id", "project_id", "kind", "m", "s.set", F.size("s.w").alias("n"), F.explode("s.w").alias("word"))
+        if df_of is None:
+            return each
+        rare = F.row_number().over(Window.partitionBy("id", "project_id", "set").orderBy(F.coalesce("df", F.lit(0)), "word"))
+        return each.join(df_of, ["project_id", "set", "word"], "left").withColumn("place", rare)
+
+    df_of = placed(b, "b", None).groupBy("project_id", "set", "word").agg(F.count("*").alias("df"))
+    left, right = placed(a, "a", df_of), placed(b, "b", df_of)
+
+    def joined(t: float, also: list[str], widen: bool) -> DataFrame:
+        # a similarity of t counts 0.8 t for the extended set
+        reach = F.when(F.col("set") == "t", F.lit(t)).otherwise(F.lit(min(t / 0.8, 1.0)))
+        kept = lambda df, name: df.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * reach - 1e-9) + 1).select(
+            F.col("id").alias(name), "project_id", "kind", "set", "word", *([F.explode("m").alias("module")] if widen else [])
+        )
+        keys = ["project_id", "set", "word", *also]
+        return kept(left, "id_a").select("id_a", *keys).join(kept(right, "id_b").select("id_b", *keys), keys).where("id_a <> id_b").select("id_a", "id_b")
+
+    pairs = joined(strong, [], False).union(joined(weak, ["kind", "module"], True)).distinct()
     both = pairs.join(a, "id_a").join(b.drop("project_id"), "id_b")
     module = F.coalesce(F.try_divide(F.size(F.array_intersect("m_a", "m_b")), F.size("m_a")), F.lit(0.0))
-    score = 0.6 * F.greatest(jaccard(F.col("t_a"), F.col("t_b")), 0.8 * jaccard(F.col("e_a"), F.col("e_b"))) + 0.2 * (F.col("kind_a") == F.col("kind_b")).cast("int") + 0.2 * module
+    same = F.coalesce((F.col("kind_a") == F.col("kind_b")).cast("int"), F.lit(0))
+    score = 0.6 * F.greatest(jaccard(F.col("t_a"), F.col("t_b")), 0.8 * jaccard(F.col("e_a"), F.col("e_b"))) + 0.2 * same + 0.2 * module
     scored = both.select("id_a", "id_b", F.round(score, 4).alias("score")).where(F.col("score") >= least)
     best = F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("score"), "id_b"))
     return scored.select("id_a", "id_b", "score", F.when(F.col("score") >= 0.8, "near").otherwise("partial").alias("band"), (best == 1).alias("best"))
@@ -52,21 +79,87 @@ def contradictions(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 def compaction_groups(nodes: DataFrame, least: int = 3) -> DataFrame:
     """Groups of active notes of one project, parent and kind (no parent is a group too): number,
-    mean confidence and importance, and a title of the first five, by creation and id."""
-    first = F.slice(F.array_sort(F.collect_list(F.struct("created_at", "id", "title"))), 1, 5)
-    g = nodes.groupBy("project_id", "parent_id", "kind").agg(
-        F.count("*").alias("n_nodes"), F.round(F.avg("confidence"), 4).alias("confidence"), F.round(F.avg("importance"), 4).alias("importance"),
-        F.array_join(F.transform(first, lambda x: x["title"]), "; ").alias("titles"),
-    )
+    mean confidence and importance, and a title of the first five, by creation and id. Numbers are
+    added up before they are exchanged, and of a group's notes only the first five are."""
+    key = ["project_id", "parent_id", "kind"]
+    g = nodes.groupBy(*key).agg(F.count("*").alias("n_nodes"), F.round(F.avg("confidence"), 4).alias("confidence"), F.round(F.avg("importance"), 4).alias("importance")).where(F.col("n_nodes") >= least)
+    place = F.row_number().over(Window.partitionBy(*key).orderBy("created_at", "id"))
+    first = nodes.withColumn("_n", place).where("_n <= 5").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("_n", "title"))).alias("_first"))
+    same = [g[c].eqNullSafe(first[c]) for c in key]
+    titles = F.array_join(F.transform("_first", lambda x: x["title"]), "; ")
     more = F.when(F.col("n_nodes") > 5, F.concat(F.lit(" (+"), (F.col("n_nodes") - 5).cast("string"), F.lit(" more)"))).otherwise("")
-    return g.where(F.col("n_nodes") >= least).select("project_id", "parent_id", "kind", "n_nodes", "confidence", "importance", F.substring(F.concat("titles", more), 1, 256).alias("title"))
+    return g.join(first, same).select(*[g[c] for c in key], "n_nodes", "confidence", "importance", F.substring(F.concat(titles, more), 1, 256).alias("title"))
 
 
-def patched(state: DataFrame, patches: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """State rows with the non-null values of their patch (one per key) in place."""
+def patched(state: DataFrame, patches: DataFrame, key: str, columns: list[str], as_of: Column | None = None) -> DataFrame:
+    """State rows with the non-null values of their patch (one per key) in place; with `as_of`, the
+    `updated_at` of every row that has a patch is set to it."""
     p = patches.select(F.col(key).alias("_key"), *[F.col(c).alias(f"_{c}") for c in columns])
     joined = state.join(p, state[key] == p["_key"], "left")
-    return joined.select(*[F.coalesce(F.col(f"_{c}"), state[c]).alias(c) if c in columns else state[c] for c in state.columns])
+
+    def value(c: str) -> Column:
+        if c in columns:
+            return F.coalesce(F.col(f"_{c}"), state[c]).alias(c)
+        if c == "updated_at" and as_of is not None:
+            return F.when(F.col("_key").isNotNull(), as_of).otherwise(state[c]).alias(c)
+        return state[c]
+
+    return joined.select(*[value(c) for c in state.columns])
+
+
+def archived(state: DataFrame, keys: DataFrame, key: str, as_of: Column, reason: str) -> DataFrame:
+    """State rows (status, archived_at, archived_reason) with the `keys` archived; those that are already
+    keep their date and reason."""
+    hit = F.col("_hit") & (F.lower(F.trim("status")) != "archived")
+    marked = state.join(keys.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    new = {"status": F.lit("archived"), "archived_at": as_of, "archived_reason": F.lit(reason), "updated_at": as_of}
+    return marked.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in state.columns])
+
+
+def restored(state: DataFrame, keys: DataFrame, key: str, as_of: Column) -> DataFrame:
+    """The archived rows among `keys` active again, without date and reason."""
+    hit = F.col("_hit") & (F.lower(F.trim("status")) == "archived")
+    marked = state.join(keys.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left").withColumn("_hit", F.coalesce("_hit", F.lit(False)))
+    none = F.lit(None)
+    new = {"status": F.lit("active"), "archived_at": none, "archived_reason": none, "updated_at": as_of}
+    return marked.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in state.columns])
+
+
+def staled(rows: DataFrame, document: str, changed: DataFrame, status: str = "index_status") -> DataFrame:
+    """Rows with `status` stale where their document (`document` of `changed`) has changed."""
+    gone = changed.select(F.col(document).alias("_gone")).distinct().withColumn("_hit", F.lit(True))
+    marked = rows.join(gone, F.col(document) == F.col("_gone"), "left")
+    return marked.select(*[F.when(F.col("_hit"), F.lit("stale")).otherwise(F.col(c)).alias(c) if c == status else F.col(c) for c in rows.columns])
+
+
+def manifest_applied(manifest: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
+    """The manifest (keys, content_hash, index_status, revision) after changes (keys, change,
+    content_hash): new and changed files are indexed at the next revision, deleted ones are marked."""
+    c = changes.select(*keys, "change", F.col("content_hash").alias("_hash"))
+    joined = manifest.select(*keys, "content_hash", "index_status", "revision").join(c, keys, "full_outer")
+    taken = F.col("change").isin("new", "changed")
+    return joined.select(
+        *keys,
+        F.when(taken, F.col("_hash")).otherwise(F.col("content_hash")).alias("content_hash"),
+        F.when(taken, "indexed").when(F.col("change") == "deleted", "deleted").otherwise(F.col("index_status")).alias("index_status"),
+        (F.coalesce("revision", F.lit(0)) + F.when(taken, 1).otherwise(0)).cast("int").alias("revision"),
+    )
+
+
+def vector_misses(records: DataFrame, stored: DataFrame, model: str) -> DataFrame:
+    """Records (record_id, content_hash) whose vector must be made anew: not stored (record_id,
+    content_hash, model) with the same content and model."""
+    return records.join(stored.where(F.col("model") == model).select("record_id", "content_hash"), ["record_id", "content_hash"], "left_anti")
+
+
+def edge_peers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, peer, relation_type, conflict): the other end of every edge (source_id, target_id,
+    relation_type) of a node, where it exists; a peer that is stale or superseded is a conflict.
+    nodes: id, status."""
+    out = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("peer"), "relation_type")
+    back = edges.where("source_id <> target_id").select(F.col("target_id").alias("id"), F.col("source_id").alias("peer"), "relation_type")
+    state = nodes.select(F.col("id").alias("peer"), F.lower(F.trim("status")).isin("stale", "superseded").alias("conflict"))
+    return out.unionByName(back).distinct().join(state, "peer").select("id", "peer", "relation_type", "conflict")
 
 
 def cascade_deleted(parents: DataFrame, children: DataFrame, key: str, foreign: str, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -82,6 +175,14 @@ def new_edges(edges: DataFrame, added: DataFrame) -> DataFrame:
     return latest(every, ["source_id", "target_id", "relation_type"], [F.col("_new")]).drop("_new")
 
 
+def ingestion_sequence(arrivals: DataFrame, key: list[str], content: str, order: list[str]) -> DataFrame:
+    """Each arrival with its `outcome` against the one of the same key before it: `new` for the first,
+    `duplicate` if the content is the same, else `updated`. `order` must be total."""
+    w = Window.partitionBy(*key).orderBy(*order)
+    before, first = F.lag(content).over(w), F.row_number().over(w) == 1
+    return arrivals.withColumn("outcome", F.when(first, "new").when(before.eqNullSafe(F.col(content)), "duplicate").otherwise("updated"))
+
+
 def ingestion_outcomes(arrivals: DataFrame, state: DataFrame) -> DataFrame:
     """What becomes of arriving documents (project_id, source_path, content_hash): `new`, `updated`
     (the latest document of the same path has another hash) or `duplicate`."""

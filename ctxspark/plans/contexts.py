@@ -29,7 +29,7 @@ def _ranked(spark: SparkSession, d: str) -> DataFrame:
 
 def rank_on_branch(spark: SparkSession, d: str) -> DataFrame:
     """The twenty best notes of each request on the branch `main`."""
-    return context.rank_notes(_asked(spark, d), _nodes(spark, d), AS_OF, context.affinity_table(spark), branches=True, digits=6)
+    return context.rank_notes(_asked(spark, d), _nodes(spark, d), AS_OF, context.affinity_table(spark), branches=True, digits=8)
 
 
 def pack_evidence(spark: SparkSession, d: str) -> DataFrame:
@@ -96,7 +96,7 @@ n AS (SELECT project_id AS scope, id, kind, branch_name, branch_scope, module_pa
   list_distinct(list_transform(coalesce(tags, []), lambda x: lower(x))) AS t, depth, importance, confidence,
   greatest(0.2, pow(2.0, -(greatest(0, epoch_us(TIMESTAMP '{AS_OF}') - epoch_us(updated_at)) / 86400000000.0) / 180)) AS fresh, greatest(1, length(summary) // 4)::INTEGER AS n_tokens FROM nodes WHERE lower(trim(status)) NOT IN ('stale', 'superseded', 'archived')),
 s0 AS (SELECT request, id, n.kind, n_tokens, source_path, branch_name, branch_scope, module_path, (0.35 * coalesce(len(list_intersect(q, w)) / nullif(len(list_distinct(list_concat(q, w))), 0), 0) + 0.1 * coalesce(len(list_intersect(m, stems)) / nullif(len(m), 0), 0)
-  + 0.05 * coalesce(len(list_intersect(q, t)) / nullif(len(q), 0), 0) + 0.1 * coalesce(weight, 0.5) + 0.15 / (1 + 0.2 * depth) + 0.1 * importance + 0.1 * confidence + 0.1 * fresh)::DOUBLE AS base FROM q JOIN n USING (scope) LEFT JOIN aff ON aff.intent = q.intent AND aff.kind = n.kind),
+  + 0.05 * coalesce(len(list_intersect(q, t)) / nullif(len(q), 0), 0) + 0.1 * coalesce(weight, 0.5) + 0.15 * (1 / (1 + 0.2 * depth)) + 0.1 * importance + 0.1 * confidence + 0.1 * fresh)::DOUBLE AS base FROM q JOIN n USING (scope) LEFT JOIN aff ON aff.intent = q.intent AND aff.kind = n.kind),
 s AS (SELECT request, id, kind, n_tokens, round(base, 4)::DOUBLE AS score FROM s0),
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY request ORDER BY score DESC, id)::INTEGER AS rank FROM s) WHERE rank <= 20)
 """
@@ -105,7 +105,7 @@ _ON_BRANCH = _RANKED.replace(
     "round(base, 4)::DOUBLE AS score FROM s0",
     """round((0.35 * base + 0.2 * CASE WHEN branch_name IS NULL OR coalesce(branch_scope, 'global') = 'global' THEN 0.3 WHEN branch_name = 'main' THEN 1.0 WHEN branch_scope = 'mainline' THEN 0.5 WHEN branch_scope = 'inherited_branch' THEN 0.6 ELSE 0.1 END
   + 0.15 + 0.1 * CASE WHEN coalesce(module_path, '') <> '' AND coalesce(source_path, '') <> '' AND (contains(source_path, ltrim(replace(module_path, '.', '/'), '/')) OR contains(ltrim(replace(module_path, '.', '/'), '/'), source_path)) THEN 1 ELSE 0 END
-  + 0.05 + 0.1 * CASE coalesce(branch_scope, 'global') WHEN 'current_branch' THEN 1.0 WHEN 'inherited_branch' THEN 0.7 WHEN 'mainline' THEN 0.5 WHEN 'historical' THEN 0.2 ELSE 0.3 END)::DOUBLE, 6)::DOUBLE AS score FROM s0""",
+  + 0.05 + 0.1 * CASE coalesce(branch_scope, 'global') WHEN 'current_branch' THEN 1.0 WHEN 'inherited_branch' THEN 0.7 WHEN 'mainline' THEN 0.5 WHEN 'historical' THEN 0.2 ELSE 0.3 END)::DOUBLE, 8)::DOUBLE AS score FROM s0""",
 )
 _BUCKET = "CASE kind " + " ".join(f"WHEN '{k}' THEN '{'decision' if k in ('debug', 'outcome') else k}'" for k in context.BUCKETS) + " END"
 _BUDGET = "CASE kind " + " ".join(f"WHEN '{k}' THEN {int(v * 1500 / 6000)}" for k, v in context.BUCKETS.items()) + " END"

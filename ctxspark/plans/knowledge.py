@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ctxspark.functions.text import REDACTIONS
-from ctxspark.operators import chunking, lifecycle
+from ctxspark.operators import chunking, lifecycle, paragraphs
 from ctxspark.operators.hierarchy import descendants, hierarchies
 from ctxspark.runtime import table
 
@@ -34,13 +34,38 @@ def chunk_diff(spark: SparkSession, d: str) -> DataFrame:
 
 
 def chunk_log(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.log_windows(_docs(spark, d, ["runtime_log"]), "doc_id", "text").select("doc_id", "start_line", "end_line", F.md5("content").alias("content_md5"))
+    return chunking.log_windows(_docs(spark, d, ["runtime_log"]), "doc_id", "text").fillna(0, ["start_line", "end_line"]).select("doc_id", "start_line", "end_line", "part_no", F.md5("content").alias("content_md5"))
 
 
 def propositions(spark: SparkSession, d: str) -> DataFrame:
     return chunking.statements(_docs(spark, d, MARKDOWN), "doc_id", "text").select("doc_id", "kind", "normalized", "confidence")
 
 
+def paragraphs_code(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs of code with heading, symbols and summary."""
+    found = paragraphs.code_paragraphs(_docs(spark, d, ["code_file", "code_comment"]), "doc_id", "text")
+    return found.select("doc_id", "paragraph_index", F.coalesce("heading", F.lit("")).alias("heading"), F.array_join("symbols", " ").alias("symbols"), F.coalesce("summary", F.lit("")).alias("summary"), F.md5("content").alias("content_md5"))
+
+
+def paragraphs_text(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs of texts with heading and summary."""
+    found = paragraphs.markdown_paragraphs(_docs(spark, d, MARKDOWN), "doc_id", "text")
+    return found.select("doc_id", "paragraph_index", F.coalesce("heading", F.lit("")).alias("heading"), F.coalesce("summary", F.lit("")).alias("summary"))
+
+
+def module_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """One summary for each code document."""
+    name = F.regexp_replace(F.regexp_replace("source_path", r"^.*[/\\\\]", ""), r"\.(?:py|md|ts)$", "")
+    names = table(spark, d, "documents").select("doc_id", name.alias("name"))
+    found = paragraphs.code_paragraphs(_docs(spark, d, ["code_file", "code_comment"]), "doc_id", "text").join(names, "doc_id")
+    return paragraphs.module_summaries(found, "doc_id", "name").select("doc_id", "summary", F.array_join("key_symbols", " ").alias("key_symbols"))
+
+
+def code_propositions(spark: SparkSession, d: str) -> DataFrame:
+    """Statements in docstrings, comments and raised errors."""
+    return paragraphs.code_statements(_docs(spark, d, ["code_file", "code_comment", "test_report"]), "doc_id", "text").select("doc_id", "kind", "normalized", "confidence")
+
+
 def proposition_spans(spark: SparkSession, d: str) -> DataFrame:
     """First and last line of each outline, and its statements by kind."""
     rows = table(spark, d, "raw_propositions").distinct()
@@ -66,10 +91,9 @@ def latest_document(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ingest_outcome(spark: SparkSession, d: str) -> DataFrame:
-    """Each document against the latest of its path."""
-    hashed = lambda df: df.withColumn("content_hash", F.sha2(F.coalesce("text", F.lit("")), 256))
-    docs = table(spark, d, "documents").where("source_path is not null")
-    return lifecycle.ingestion_outcomes(hashed(docs).select("doc_id", "project_id", "source_path", "content_hash"), hashed(_latest(spark, d))).select("doc_id", "outcome")
+    """Each document against the one of its path that arrived before it."""
+    docs = table(spark, d, "documents").where("source_path is not null").select("doc_id", "project_id", "source_path", "created_at", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    return lifecycle.ingestion_sequence(docs, ["project_id", "source_path"], "h", ["created_at", "doc_id"]).select("doc_id", "outcome")
 
 
 def doc_chunk_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -138,10 +162,66 @@ def compaction_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dedup_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Likely duplicates of the notes whose id ends in a multiple of 20 (hexadecimal), against all."""
-    nodes = _nodes(spark, d).select("id", "project_id", "kind", "module_path", "title", "summary")
-    asked = nodes.where(F.conv(F.substring("id", -4, 4), 16, 10).cast("int") % 20 == 0)
-    return lifecycle.likely_duplicates(asked, nodes, 0.42)
+    """Likely duplicates of each note among all others: notes come again in other projects, so that all
+    projects are one here."""
+    nodes = _nodes(spark, d).select("id", F.lit("all").alias("project_id"), "kind", "module_path", "title", "summary")
+    return lifecycle.likely_duplicates(nodes, nodes)
+
+
+def conflicting_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Notes and their parents whose summaries use opposing words."""
+    nodes = _nodes(spark, d)
+    return lifecycle.contradictions(nodes.where("parent_id is not null").select(F.col("id").alias("id_a"), F.col("parent_id").alias("id_b")), nodes.select("id", F.col("summary").alias("text")))
+
+
+def archived_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Notes after those without an update since March 2024 were archived."""
+    nodes = _nodes(spark, d)
+    old = nodes.where("updated_at < timestamp'2024-03-01'").select("id")
+    done = lifecycle.archived(nodes, old, "id", F.lit("2024-09-01").cast("timestamp"), "no update")
+    return done.select("id", "status", F.coalesce("archived_reason", F.lit("")).alias("reason"), F.date_format("updated_at", "yyyy-MM-dd").alias("updated_on"))
+
+
+def stale_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks by state after those of documents that came again with another text have gone stale."""
+    docs = table(spark, d, "documents").where("source_path is not null").select("doc_id", "document_id", "project_id", "source_path", "created_at", F.sha2(F.coalesce("text", F.lit("")), 256).alias("h"))
+    changed = lifecycle.ingestion_sequence(docs, ["project_id", "source_path"], "h", ["created_at", "doc_id"]).where("outcome = 'updated'")
+    chunks = table(spark, d, "knowledge_chunks").select("chunk_id", "document_id", "index_status").distinct()
+    return lifecycle.staled(chunks, "document_id", changed).groupBy("index_status").agg(F.count("*").alias("n_chunks"))
+
+
+def next_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """Each project's first listed snapshot as a manifest after the changes of the one that follows."""
+    rows, listed = table(spark, d, "file_manifest"), table(spark, d, "manifest_snapshots").select("project_id", "snapshot_no").distinct()
+    w = Window.partitionBy("project_id").orderBy("snapshot_no")
+    first = listed.withColumn("i", F.row_number().over(w)).where("i <= 2")
+    order = [F.desc_nulls_last("mtime"), F.desc_nulls_last("delivered_at"), F.desc_nulls_last("content_hash"), F.desc_nulls_last("revision"), F.col("index_status")]
+    state = lifecycle.latest(rows.where("rel_path is not null"), ["project_id", "snapshot_no", "rel_path"], order).join(first, ["project_id", "snapshot_no"])
+    now = state.where("i = 1").select("project_id", "rel_path", "content_hash", "index_status", "revision")
+    then = state.where("i = 2 and index_status <> 'deleted'").select("project_id", "rel_path", F.col("content_hash").alias("h"), F.lit(True).alias("there"))
+    two = listed.groupBy("project_id").agg(F.count("*").alias("n")).where("n >= 2").select("project_id")
+    both = now.where("index_status <> 'deleted'").select("project_id", "rel_path", F.col("content_hash").alias("g"), F.lit(True).alias("here")).join(then, ["project_id", "rel_path"], "full_outer").join(two, "project_id")
+    change = F.when(F.col("here").isNull(), "new").when(F.col("there").isNull(), "deleted").when(~F.col("g").eqNullSafe(F.col("h")), "changed")
+    changes = both.select("project_id", "rel_path", change.alias("change"), F.col("h").alias("content_hash")).where("change is not null")
+    return lifecycle.manifest_applied(now, changes, ["project_id", "rel_path"])
+
+
+def vectors_to_make(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks whose vector is missing or of another content: the latest states against the first ones
+    that were embedded."""
+    rows = table(spark, d, "knowledge_chunks").where("chunk_id is not null")
+    now = lifecycle.latest(rows, ["chunk_id"], [F.desc_nulls_last("updated_at"), F.desc_nulls_last("created_at"), F.col("content_hash")])
+    records = now.select(F.col("chunk_id").alias("record_id"), "content_hash")
+    stored = rows.where("embedding_status = 'embedded'").select(F.col("chunk_id").alias("record_id"), "content_hash", F.lit("m").alias("model")).distinct()
+    return lifecycle.vector_misses(records, stored, "m")
+
+
+def related_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Peers of each note: parent and child, and a note with what it was compacted into."""
+    nodes = _nodes(spark, d)
+    part = lambda to, kind: nodes.where(F.col(to).isNotNull()).select(F.col("id").alias("source_id"), F.col(to).alias("target_id"), F.lit(kind).alias("relation_type"))
+    edges = lifecycle.new_edges(part("parent_id", "part_of"), part("compacted_into_id", "compacted_into"))
+    return lifecycle.edge_peers(edges, nodes)
 
 
 def deleted_projects(spark: SparkSession, d: str) -> DataFrame:
@@ -158,10 +238,11 @@ def refreshed_notes(spark: SparkSession, d: str) -> DataFrame:
     """Notes after a patch that takes each one's status and confidence from its latest evidence's age."""
     ev = table(spark, d, "evidence").groupBy(F.col("memory_node_id").alias("id")).agg(F.max("created_at").alias("last"))
     patch = ev.select("id", F.when(F.col("last") < F.lit("2024-03-01").cast("timestamp"), "stale").alias("status"))
-    return lifecycle.patched(_nodes(spark, d), patch, "id", ["status"]).select("id", "status")
+    done = lifecycle.patched(_nodes(spark, d), patch, "id", ["status"], F.lit("2024-09-01").cast("timestamp"))
+    return done.select("id", "status", F.date_format("updated_at", "yyyy-MM-dd").alias("updated_on"))
 
 
-NAMES = "chunk_markdown chunk_code chunk_test_report chunk_diff chunk_log propositions proposition_spans exact_dedupe latest_document ingest_outcome doc_chunk_counts retention_counts status_report node_evidence tree_paths inspect_children consolidated_titles compaction_groups dedup_matches deleted_projects refreshed_notes"
+NAMES = "chunk_markdown chunk_code chunk_test_report chunk_diff chunk_log propositions proposition_spans exact_dedupe latest_document ingest_outcome doc_chunk_counts retention_counts status_report node_evidence tree_paths inspect_children consolidated_titles compaction_groups dedup_matches deleted_projects refreshed_notes conflicting_notes archived_notes stale_chunks next_manifest vectors_to_make related_notes paragraphs_code paragraphs_text module_summaries code_propositions"
 QUERIES = {name: globals()[name] for name in NAMES.split()}
 
 _NODES = "WITH RECURSIVE nodes AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, status, retrieval_count DESC) AS n FROM memory_nodes) WHERE n = 1)"
@@ -184,6 +265,51 @@ _CASE_KIND = "CASE " + " ".join("WHEN regexp_matches(s, '{}') THEN '{}'".format(
 _CASE_DELTA = "CASE " + " ".join("WHEN regexp_matches(s, '{}') THEN {}".format(rule.replace("'", "''"), delta) for _, delta, rule in chunking.STATEMENT_KINDS) + " ELSE 0 END"
 _LINK_CODE = r"list_filter([regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN string_split(regexp_replace(text, '(^|\n)({})', '\1' || chr(1) || '\2', 'g'), chr(1))], lambda y: y <> '')"
 
+_SEQUENCE = """(SELECT doc_id, document_id, CASE WHEN row_number() OVER w = 1 THEN 'new' WHEN lag(coalesce(text, '')) OVER w = coalesce(text, '') THEN 'duplicate' ELSE 'updated' END AS outcome
+  FROM documents WHERE source_path IS NOT NULL WINDOW w AS (PARTITION BY project_id, source_path ORDER BY created_at, doc_id))"""
+_DUPLICATES = r""", w AS (SELECT id, project_id, kind, list_distinct(list_filter(regexp_extract_all(lower(title), '[\p{L}\p{M}\p{N}_]+'), lambda x: len(x) > 2)) AS t,
+  list_distinct(list_filter(regexp_extract_all(lower(title || ' ' || left(summary, 200)), '[\p{L}\p{M}\p{N}_]+'), lambda x: len(x) > 2)) AS e,
+  list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(coalesce(module_path, ''), '[._/]', ' ', 'g')), '[\p{L}\p{M}\p{N}_]+'), lambda x: len(x) > 2)) AS m FROM nodes),
+tw AS (SELECT id, unnest(t) AS x FROM w), ew AS (SELECT id, unnest(e) AS x FROM w), mw AS (SELECT id, unnest(m) AS x FROM w),
+ti AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM tw a JOIN tw b USING (x) WHERE a.id <> b.id GROUP BY ALL),
+ei AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM ew a JOIN ew b USING (x) WHERE a.id <> b.id GROUP BY ALL),
+mi AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM mw a JOIN mw b USING (x) WHERE a.id <> b.id GROUP BY ALL),
+s AS (SELECT ei.id_a, ei.id_b, round(0.6 * greatest(coalesce(ti.c / (len(a.t) + len(b.t) - ti.c), 0), 0.8 * ei.c / (len(a.e) + len(b.e) - ei.c)) + 0.2 * coalesce((a.kind = b.kind)::INTEGER, 0) + 0.2 * coalesce(mi.c / len(a.m), 0), 4)::DOUBLE AS score
+  FROM ei JOIN w a ON a.id = ei.id_a JOIN w b ON b.id = ei.id_b LEFT JOIN ti ON ti.id_a = ei.id_a AND ti.id_b = ei.id_b LEFT JOIN mi ON mi.id_a = ei.id_a AND mi.id_b = ei.id_b),
+dup AS (SELECT id_a, id_b, score, CASE WHEN score >= 0.8 THEN 'near' ELSE 'partial' END AS band, row_number() OVER (PARTITION BY id_a ORDER BY score DESC, id_b) = 1 AS best FROM s WHERE score >= 0.5)
+"""
+_SIDES = [
+    (["must", "always", "required", "mandatory", "never"], ["optional", "may", "can", "allowed", "sometimes"]),
+    (["synchronous", "blocking", "sequential"], ["asynchronous", "async", "concurrent", "parallel"]),
+    (["immutable", "readonly", "constant"], ["mutable", "writable", "modifiable"]),
+    (["deprecated", "removed", "deleted"], ["active", "current", "supported"]),
+    (["atomic", "transaction", "rollback"], ["eventual", "best-effort", "idempotent"]),
+]
+_OPPOSED = " OR ".join(f"(list_has_any(x.l, {a}) AND list_has_any(y.l, {b})) OR (list_has_any(y.l, {a}) AND list_has_any(x.l, {b}))" for a, b in _SIDES)
+
+_RULES = {name: rule.replace("'", "''") for name, _, rule in chunking.STATEMENT_KINDS}
+_FIRST = r"trim(regexp_replace({x}, '^(.*?[.!?])\s+[A-Z].*$', '\1'))"
+_UNIQUE = "list_reduce({x}, lambda a, y: CASE WHEN list_contains(list_transform(a, lambda z: lower(z)), lower(y)) THEN a ELSE list_append(a, y) END, []::VARCHAR[])"
+_DOC = "regexp_extract({x}, '(?s)" + '"""(.*?)"""|' + "''" * 3 + "(.*?)" + "''" * 3 + "', {n})"
+_SUMMARY = rf"""left(CASE WHEN length(regexp_replace(string_split(regexp_replace(coalesce(nullif({_DOC.format(x='c', n=1)}, ''), {_DOC.format(x='c', n=2)}), '^\s+|\s+$', '', 'g'), chr(10))[1], '^\s+|\s+$', '', 'g')) > 10
+  THEN regexp_replace(string_split(regexp_replace(coalesce(nullif({_DOC.format(x='c', n=1)}, ''), {_DOC.format(x='c', n=2)}), '^\s+|\s+$', '', 'g'), chr(10))[1], '^\s+|\s+$', '', 'g')
+  ELSE list_filter([CASE WHEN regexp_matches(x, '^(def |async def |class )') THEN CASE WHEN length(rtrim(x, ':')) > 5 THEN rtrim(x, ':') END WHEN length(x) > 10 THEN x END
+    FOR x IN list_filter([regexp_replace(y, '^\s+|\s+$', '', 'g') FOR y IN string_split(c, chr(10))], lambda z: z <> '' AND NOT regexp_matches(z, '^(@|#!|import |from |#)'))], lambda v: v IS NOT NULL)[1] END, 200)"""
+_CODE_PARAGRAPHS = (
+    r"WITH b AS (SELECT doc_id, regexp_replace(regexp_replace(source_path, '^.*[/\\]', ''), '\.(py|md|ts)$', '') AS name, "
+    + _LINK_CODE.format("def |class |async def ")
+    + r""" AS l FROM documents WHERE source_type IN ('code_file', 'code_comment') AND text IS NOT NULL),
+blocks AS (SELECT doc_id, name, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM b),
+cut AS (SELECT doc_id, name, i, list_filter([regexp_replace(y, '^\s+|\s+$', '', 'g') FOR y IN CASE WHEN greatest(1, length(x) // 4) > 1000 THEN regexp_split_to_array(x, '
+
++') ELSE [x] END], lambda z: z <> '') AS p FROM blocks),
+pieces AS (SELECT doc_id, name, i, unnest(p) AS c, generate_subscripts(p, 1) AS j FROM cut),
+para AS (SELECT doc_id, name, (row_number() OVER (PARTITION BY doc_id ORDER BY i, j) - 1)::INTEGER AS paragraph_index, c, nullif(regexp_extract(c, '^(?:async\s+)?(?:def|class)\s+([A-Za-z_]\w*)', 1), '') AS heading,
+  regexp_extract_all(c, '(?m)^(?:def |async def |class )\s*([A-Za-z_]\w*)', 1) AS symbols, """
+    + _SUMMARY
+    + " AS summary FROM pieces) "
+)
+
 ORACLE = {
     "chunk_markdown": rf"""WITH b AS (SELECT doc_id, text, string_split(regexp_replace(text, '(^|\n)(#{{1,6}}\s)', '\1' || chr(1) || '\2', 'g'), chr(1)) AS l0 FROM documents WHERE source_type IN {_KINDS_IN} AND text IS NOT NULL),
 h AS (SELECT doc_id, text, list_filter(l0, lambda x: regexp_matches(x, '^#{{1,6}}\s')) AS l FROM b),
@@ -211,19 +337,31 @@ SELECT e.id, path[1] AS root_key, (len(path) - 1)::INTEGER AS depth, (SELECT cou
     "SELECT doc_id, (i - 1)::INTEGER AS chunk_index, array_to_string(regexp_extract_all(x, 'test_[A-Za-z0-9_]+'), ' ') AS symbols, md5(x) AS content_md5 FROM (SELECT doc_id, unnest(l) AS x, generate_subscripts(l, 1) AS i FROM b)",
     "chunk_log": r"""WITH lines AS (SELECT doc_id, unnest(l) AS line, generate_subscripts(l, 1) - 1 AS i FROM (SELECT doc_id, regexp_split_to_array(text, '\r?\n') AS l FROM documents WHERE source_type = 'runtime_log' AND text IS NOT NULL)),
 near AS (SELECT *, max(regexp_matches(line, '(?i)ERROR|WARN|CRITICAL|EXCEPTION|Traceback')::INTEGER) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near FROM lines),
-isl AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM near WHERE near = 1)
-SELECT doc_id, (min(i) + 1)::INTEGER AS start_line, (max(i) + 1)::INTEGER AS end_line, md5(string_agg(line, chr(10) ORDER BY i)) AS content_md5 FROM isl GROUP BY doc_id, island""",
-    "propositions": rf"""WITH items AS (
-  SELECT doc_id, 0.72 AS base, unnest(regexp_extract_all(text, '(?m)^[ \t]*[-*•][ \t]+([^\n]+)', 1)) AS s FROM documents WHERE source_type IN {_KINDS_IN}
-  UNION ALL SELECT doc_id, 0.70, unnest(regexp_extract_all(text, '(?m)^[ \t]*\d+[.)][ \t]+([^\n]+)', 1)) FROM documents WHERE source_type IN {_KINDS_IN}),
-t AS (SELECT doc_id, base, {_STRIP.format('s')} AS s FROM items),
+isl AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS island FROM near WHERE near = 1),
+win AS (SELECT doc_id, (min(i) + 1)::INTEGER AS start_line, (max(i) + 1)::INTEGER AS end_line, regexp_replace(string_agg(line, chr(10) ORDER BY i), '^\s+|\s+$', '', 'g') AS x FROM isl GROUP BY doc_id, island),
+parts AS (SELECT doc_id, start_line, end_line, """ + _PACK.format(x="x", most=600) + r""" AS p FROM win
+  UNION ALL SELECT doc_id, 0, 0, [regexp_replace(text, '^\s+|\s+$', '', 'g')] FROM documents WHERE source_type = 'runtime_log' AND text IS NOT NULL AND NOT regexp_matches(text, '(?i)ERROR|WARN|CRITICAL|EXCEPTION|Traceback'))
+SELECT doc_id, start_line, end_line, (j - 1)::INTEGER AS part_no, md5(c) AS content_md5 FROM (SELECT doc_id, start_line, end_line, unnest(list_filter(p, lambda y: y <> '')) AS c, generate_subscripts(list_filter(p, lambda y: y <> ''), 1) AS j FROM parts)""",
+    "propositions": rf"""WITH docs AS (SELECT doc_id, text FROM documents WHERE source_type IN {_KINDS_IN} AND text IS NOT NULL),
+items AS (
+  SELECT doc_id, 0.72 AS base, unnest(regexp_extract_all(text, '(?m)^[ \t]*[-*•][ \t]+([^\n]+)', 1)) AS r FROM docs
+  UNION ALL SELECT doc_id, 0.70, unnest(regexp_extract_all(text, '(?m)^[ \t]*\d+[.)][ \t]+([^\n]+)', 1)) FROM docs
+  UNION ALL SELECT doc_id, 0.68, r FROM (SELECT doc_id, regexp_replace(unnest(string_split(text, chr(10))), '^\s+|\s+$', '', 'g') AS r FROM docs) WHERE NOT regexp_matches(r, '^([#*•-]|$)') AND (regexp_matches(r, '{_RULES["constraint"]}') OR regexp_matches(r, '{_RULES["security_rule"]}'))),
+u AS (SELECT doc_id, base, {_STRIP.format('r')} AS r FROM items),
+t AS (SELECT doc_id, base, {_FIRST.format(x='r')} AS s FROM u WHERE base = 0.68 OR (length(r) BETWEEN 12 AND 350 AND NOT regexp_matches(r, '^(?:import|from)\s+\w') AND NOT regexp_matches(r, '^[\s\d.,;:!?()-]+$'))),
 k AS (SELECT doc_id, {_CASE_KIND} AS kind, s, trim(regexp_replace(lower(s), '\s+', ' ', 'g')) AS normalized, round(least((base + {_CASE_DELTA})::DOUBLE, 0.95), 2)::DOUBLE AS confidence FROM t
   WHERE length(s) BETWEEN 12 AND 350 AND NOT regexp_matches(s, '^(?:import|from)\s+\w') AND NOT regexp_matches(s, '^[\s\d.,;:!?()-]+$'))
-SELECT doc_id, kind, normalized, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, normalized ORDER BY confidence DESC, s DESC) AS n FROM k) WHERE n = 1""",
+SELECT doc_id, kind, normalized, confidence FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, normalized ORDER BY confidence DESC, s DESC, kind DESC) AS n FROM k) WHERE n = 1""",
+    "paragraphs_code": _CODE_PARAGRAPHS + "SELECT doc_id, paragraph_index, coalesce(heading, '') AS heading, array_to_string(symbols, ' ') AS symbols, coalesce(summary, '') AS summary, md5(c) AS content_md5 FROM para",
+    "module_summaries": _CODE_PARAGRAPHS
+    + rf""", g AS (SELECT doc_id, name, list(summary ORDER BY paragraph_index)[1] AS first, {_UNIQUE.format(x="flatten(list(symbols ORDER BY paragraph_index))")} AS ks,
+  list_slice({_UNIQUE.format(x="list_filter(list(heading ORDER BY paragraph_index), lambda h: h IS NOT NULL)")}, 1, 4) AS h FROM para GROUP BY doc_id, name)
+SELECT doc_id, left(CASE WHEN first IS NOT NULL THEN first WHEN len(h) > 0 THEN 'Module covering: ' || array_to_string(h, ', ') WHEN len(ks) > 0 THEN 'Defines: ' || array_to_string(list_slice(ks, 1, 5), ', ') WHEN coalesce(name, '') <> '' THEN 'Source file: ' || name ELSE 'Module summary.' END
+  || CASE WHEN len(ks) > 0 THEN ' Key components: ' || array_to_string(list_slice(ks, 1, 6), ', ') || '.' ELSE '' END, 800) AS summary, array_to_string(list_slice(ks, 1, 15), ' ') AS key_symbols FROM g""",
     "proposition_spans": "SELECT document_id, proposition_type, count(*) AS n_statements, min(source_start_line) AS first_line, max(coalesce(source_end_line, source_start_line)) AS last_line FROM (SELECT DISTINCT * FROM raw_propositions) GROUP BY ALL",
     "exact_dedupe": "SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id, count(*) AS n_copies FROM documents WHERE text IS NOT NULL GROUP BY ALL",
     "latest_document": f"SELECT project_id, source_path, doc_id FROM {_LATEST}",
-    "ingest_outcome": f"SELECT d.doc_id, CASE WHEN l.doc_id IS NULL THEN 'new' WHEN coalesce(l.text, '') = coalesce(d.text, '') THEN 'duplicate' ELSE 'updated' END AS outcome FROM documents d LEFT JOIN {_LATEST} l USING (project_id, source_path) WHERE d.source_path IS NOT NULL",
+    "ingest_outcome": f"SELECT doc_id, outcome FROM {_SEQUENCE}",
     "doc_chunk_counts": "SELECT document_id, count(DISTINCT chunk_id) AS n_chunks, count(DISTINCT CASE WHEN index_status = 'indexed' THEN chunk_id END) AS n_indexed FROM knowledge_chunks GROUP BY ALL",
     "retention_counts": _NODES + " SELECT project_id, count(*) AS n_nodes, " + ", ".join(f"count(*) FILTER (lower(trim(status)) = '{s}') AS n_{s}" for s in ("active", "stale", "superseded", "archived", "needs_review")) + " FROM nodes GROUP BY ALL",
     "status_report": _NODES
@@ -239,15 +377,27 @@ SELECT project_id, parent_id, kind, count(*) AS n_nodes, round(avg(confidence),
 FROM (SELECT *, row_number() OVER (PARTITION BY project_id, parent_id, kind ORDER BY created_at, id) AS rn FROM nodes WHERE lower(trim(status)) = 'active') GROUP BY ALL) WHERE n_nodes >= 3""",
     "deleted_projects": _NODES
     + " SELECT project_id, count(*) AS n_notes, coalesce(sum(n), 0)::BIGINT AS n_evidence FROM nodes LEFT JOIN (SELECT memory_node_id, count(*) AS n FROM (SELECT DISTINCT id, memory_node_id FROM evidence) GROUP BY ALL) e ON e.memory_node_id = id WHERE lower(trim(status)) <> 'archived' GROUP BY ALL",
-    "refreshed_notes": _NODES + " SELECT id, CASE WHEN e.last < TIMESTAMP '2024-03-01' THEN 'stale' ELSE status END AS status FROM nodes LEFT JOIN (SELECT memory_node_id, max(created_at) AS last FROM evidence GROUP BY ALL) e ON e.memory_node_id = id",
-    "dedup_matches": _NODES
-    + r""", w AS (SELECT id, project_id, kind, list_distinct(list_filter(regexp_extract_all(lower(title), '[\p{L}\p{M}\p{N}_]+'), lambda x: len(x) > 2)) AS t,
-  list_distinct(list_filter(regexp_extract_all(lower(title || ' ' || left(summary, 200)), '[\p{L}\p{M}\p{N}_]+'), lambda x: len(x) > 2)) AS e,
-  list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(coalesce(module_path, ''), '[._/]', ' ', 'g')), '[\p{L}\p{M}\p{N}_]+'), lambda x: len(x) > 2)) AS m FROM nodes),
-s AS (SELECT a.id AS id_a, b.id AS id_b, round(0.6 * greatest(coalesce(len(list_intersect(a.t, b.t)) / nullif(len(list_distinct(list_concat(a.t, b.t))), 0), 0), 0.8 * coalesce(len(list_intersect(a.e, b.e)) / nullif(len(list_distinct(list_concat(a.e, b.e))), 0), 0))
-  + 0.2 * (a.kind = b.kind)::INTEGER + 0.2 * coalesce(len(list_intersect(a.m, b.m)) / nullif(len(a.m), 0), 0), 4)::DOUBLE AS score
-  FROM w a JOIN w b ON a.project_id = b.project_id AND a.id <> b.id WHERE ('0x' || right(a.id, 4))::INTEGER % 20 = 0)
-SELECT id_a, id_b, score, CASE WHEN score >= 0.8 THEN 'near' ELSE 'partial' END AS band, row_number() OVER (PARTITION BY id_a ORDER BY score DESC, id_b) = 1 AS best FROM s WHERE score >= 0.42""",
+    "refreshed_notes": _NODES + " SELECT id, CASE WHEN e.last < TIMESTAMP '2024-03-01' THEN 'stale' ELSE status END AS status, CASE WHEN e.memory_node_id IS NOT NULL THEN '2024-09-01' ELSE strftime(updated_at, '%Y-%m-%d') END AS updated_on FROM nodes LEFT JOIN (SELECT memory_node_id, max(created_at) AS last FROM evidence GROUP BY ALL) e ON e.memory_node_id = id",
+    "dedup_matches": _NODES + _DUPLICATES + "SELECT * FROM dup",
+    "conflicting_notes": _NODES + ", l AS (SELECT id, parent_id, list_distinct(regexp_extract_all(lower(summary), '[\\p{L}\\p{M}\\p{N}_]+')) AS l FROM nodes) SELECT x.id AS id_a, y.id AS id_b FROM l x JOIN l y ON y.id = x.parent_id WHERE " + _OPPOSED,
+    "archived_notes": _NODES
+    + """ SELECT id, CASE WHEN hit THEN 'archived' ELSE status END AS status, CASE WHEN hit THEN 'no update' ELSE coalesce(archived_reason, '') END AS reason, CASE WHEN hit THEN '2024-09-01' ELSE strftime(updated_at, '%Y-%m-%d') END AS updated_on
+FROM (SELECT *, updated_at < TIMESTAMP '2024-03-01' AND lower(trim(status)) <> 'archived' AS hit FROM nodes)""",
+    "stale_chunks": f"SELECT index_status, count(*) AS n_chunks FROM (SELECT chunk_id, CASE WHEN document_id IN (SELECT document_id FROM {_SEQUENCE} WHERE outcome = 'updated') THEN 'stale' ELSE index_status END AS index_status FROM (SELECT DISTINCT chunk_id, document_id, index_status FROM knowledge_chunks)) GROUP BY ALL",
+    "next_manifest": """WITH listed AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY snapshot_no) AS i, count(*) OVER (PARTITION BY project_id) AS n FROM (SELECT DISTINCT project_id, snapshot_no FROM manifest_snapshots)),
+state AS (SELECT s.*, i, n FROM (SELECT *, row_number() OVER (PARTITION BY project_id, snapshot_no, rel_path ORDER BY mtime DESC NULLS LAST, delivered_at DESC NULLS LAST, content_hash DESC NULLS LAST, revision DESC NULLS LAST, index_status) AS r FROM file_manifest WHERE rel_path IS NOT NULL) s JOIN listed USING (project_id, snapshot_no) WHERE r = 1 AND i <= 2),
+a AS (SELECT * FROM state WHERE i = 1), b AS (SELECT * FROM state WHERE i = 2 AND index_status <> 'deleted')
+SELECT coalesce(a.project_id, b.project_id) AS project_id, coalesce(a.rel_path, b.rel_path) AS rel_path,
+  CASE WHEN b.rel_path IS NOT NULL AND (a.rel_path IS NULL OR a.index_status = 'deleted' OR a.content_hash IS DISTINCT FROM b.content_hash) THEN b.content_hash ELSE a.content_hash END AS content_hash,
+  CASE WHEN b.rel_path IS NOT NULL AND (a.rel_path IS NULL OR a.index_status = 'deleted' OR a.content_hash IS DISTINCT FROM b.content_hash) THEN 'indexed' WHEN b.rel_path IS NULL AND a.n >= 2 AND a.index_status <> 'deleted' THEN 'deleted' ELSE a.index_status END AS index_status,
+  (coalesce(a.revision, 0) + CASE WHEN b.rel_path IS NOT NULL AND (a.rel_path IS NULL OR a.index_status = 'deleted' OR a.content_hash IS DISTINCT FROM b.content_hash) THEN 1 ELSE 0 END)::INTEGER AS revision
+FROM a FULL JOIN b ON a.project_id = b.project_id AND a.rel_path = b.rel_path""",
+    "vectors_to_make": """SELECT record_id, content_hash FROM (SELECT chunk_id AS record_id, content_hash, row_number() OVER (PARTITION BY chunk_id ORDER BY updated_at DESC NULLS LAST, created_at DESC NULLS LAST, content_hash) AS n FROM knowledge_chunks WHERE chunk_id IS NOT NULL) r
+WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM knowledge_chunks k WHERE k.embedding_status = 'embedded' AND k.chunk_id = r.record_id AND k.content_hash = r.content_hash)""",
+    "related_notes": _NODES
+    + """, e AS (SELECT id AS s, parent_id AS t, 'part_of' AS relation_type FROM nodes WHERE parent_id IS NOT NULL AND parent_id <> id UNION SELECT id, compacted_into_id, 'compacted_into' FROM nodes WHERE compacted_into_id IS NOT NULL AND compacted_into_id <> id),
+p AS (SELECT s AS id, t AS peer, relation_type FROM e UNION SELECT t, s, relation_type FROM e)
+SELECT p.id, p.peer, p.relation_type, lower(trim(n.status)) IN ('stale', 'superseded') AS conflict FROM p JOIN nodes n ON n.id = p.peer""",
 }
 
 _PARTS = "evidence_texts AS (SELECT DISTINCT id, content AS c0, 0 AS n0 FROM evidence)"
