@@ -169,6 +169,17 @@ def evidence_fill(notes: DataFrame, evidence: DataFrame, budget: int) -> DataFra
     return folded.where("y.taken").select("request", "y.x.note", "y.x.evidence", "y.x.n_tokens")
 
 
+def with_parents(hits: DataFrame, links: DataFrame, summaries: DataFrame) -> DataFrame:
+    """Hits (request, id, source_path) with what they belong to, once a request: `how` is `hit`, `parent`
+    (the parent of a hit by links: id, parent) or `module` (the summary of a hit's path by summaries:
+    source_path, id), where that is no hit itself."""
+    own = hits.select("request", "id", F.lit("hit").alias("how"))
+    parents = hits.select("request", "id").join(links.where("parent is not null"), "id").select("request", F.col("parent").alias("id"), F.lit("parent").alias("how"))
+    modules = hits.select("request", "source_path").join(summaries, "source_path").select("request", "id", F.lit("module").alias("how"))
+    more = parents.unionByName(modules).join(own.select("request", "id"), ["request", "id"], "left_anti")
+    return own.distinct().unionByName(more.groupBy("request", "id").agg(F.max("how").alias("how")))
+
+
 def layered_search(layers: dict[str, DataFrame], requests: DataFrame, preferred: list[str], texts: DataFrame, k: int = 10, budget: int = 600, types: list[str] | None = None) -> DataFrame:
     """Search over several layers at once (request, layer, id, score, rank, n_tokens).
 

@@ -154,12 +154,13 @@ def vector_misses(records: DataFrame, stored: DataFrame, model: str) -> DataFram
 
 def edge_peers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, peer, relation_type, conflict): the other end of every edge (source_id, target_id,
-    relation_type) of a node, where it exists; a peer that is stale or superseded is a conflict.
+    relation_type) of a node, where both exist; a peer that is stale or superseded is a conflict.
     nodes: id, status."""
     out = edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("peer"), "relation_type")
     back = edges.where("source_id <> target_id").select(F.col("target_id").alias("id"), F.col("source_id").alias("peer"), "relation_type")
     state = nodes.select(F.col("id").alias("peer"), F.lower(F.trim("status")).isin("stale", "superseded").alias("conflict"))
-    return out.unionByName(back).distinct().join(state, "peer").select("id", "peer", "relation_type", "conflict")
+    known = out.unionByName(back).distinct().join(nodes.select("id"), "id", "left_semi")
+    return known.join(state, "peer").select("id", "peer", "relation_type", "conflict")
 
 
 def cascade_deleted(parents: DataFrame, children: DataFrame, key: str, foreign: str, gone: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -72,6 +72,17 @@ def layer_search(spark: SparkSession, d: str) -> DataFrame:
     return context.layered_search(layers, _requests(spark, d), ["proposition", "chunk"], texts, types=["constraint", "decision", "security_rule"])
 
 
+def expanded_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Hits of the layers with their parent statements, and with the readme of their path."""
+    _, texts = _layers(spark, d)
+    hits = layer_search(spark, d).join(texts.select("layer", "id", "source_path"), ["layer", "id"])
+    rows = table(spark, d, "raw_propositions").groupBy("document_id", "paragraph_index").agg(F.min("parent_paragraph_index").alias("up"))
+    key = lambda i: F.concat_ws("#", "document_id", F.col(i).cast("string"))
+    links = rows.where("up is not null").select(key("paragraph_index").alias("id"), key("up").alias("parent"))
+    docs = table(spark, d, "documents").where("source_path is not null and document_id is not null").groupBy("source_path").agg(F.min("document_id").alias("id"))
+    return context.with_parents(hits, links, docs)
+
+
 def unified_pack(spark: SparkSession, d: str) -> DataFrame:
     """Notes under 60 % of 1,500 tokens, then search hits that repeat none of them under the rest."""
     notes = context.note_pack(_ranked(spark, d), 900)
@@ -84,7 +95,7 @@ def unified_pack(spark: SparkSession, d: str) -> DataFrame:
     return part.unionByName(taken.select("request", F.col("layer").alias("section"), "id", F.col("n_tokens").cast("int").alias("n_tokens")))
 
 
-QUERIES = {"rank_on_branch": rank_on_branch, "pack_evidence": pack_evidence, "rank_nodes": rank_nodes, "compose_pack": compose_pack, "layer_search": layer_search, "unified_pack": unified_pack}
+QUERIES = {"expanded_hits": expanded_hits, "rank_on_branch": rank_on_branch, "pack_evidence": pack_evidence, "rank_nodes": rank_nodes, "compose_pack": compose_pack, "layer_search": layer_search, "unified_pack": unified_pack}
 
 _AFFINITY = ", ".join(f"('{intent}', '{kind}', {w})" for intent, worth in context.AFFINITY.items() for kind, w in zip(context.AFFINITY_KINDS, worth))
 _W = r"list_distinct(list_filter(regexp_extract_all(lower({}), '[\p{{L}}\p{{M}}\p{{N}}_]+'), lambda x: len(x) > 2))"
@@ -149,6 +160,14 @@ take AS (SELECT request, 0::BIGINT AS j, NULL::VARCHAR AS note, NULL::VARCHAR AS
     CASE WHEN t.closed <> p.note AND t.used + p.n_tokens > 400 THEN p.note ELSE t.closed END, t.closed <> p.note AND t.used + p.n_tokens <= 400 FROM take t JOIN pieces p ON p.request = t.request AND p.j = t.j + 1)
 SELECT request, note, evidence, n_tokens FROM take WHERE taken""",
     "layer_search": _NODES + _LAYERS + "SELECT request, layer, id, score, rank, n_tokens FROM layered",
+    "expanded_hits": _NODES
+    + _LAYERS
+    + """, own AS (SELECT DISTINCT request, id FROM layered),
+up AS (SELECT document_id || '#' || paragraph_index AS id, document_id || '#' || min(parent_paragraph_index) AS parent FROM raw_propositions GROUP BY document_id, paragraph_index),
+paths AS (SELECT source_path, min(document_id) AS id FROM documents WHERE source_path IS NOT NULL AND document_id IS NOT NULL GROUP BY ALL),
+more AS (SELECT request, parent AS id, 'parent' AS how FROM own JOIN up USING (id) WHERE parent IS NOT NULL
+  UNION ALL SELECT l.request, p.id, 'module' FROM layered l JOIN texts t USING (layer, id) JOIN paths p ON p.source_path = t.source_path)
+SELECT request, id, 'hit' AS how FROM own UNION ALL SELECT request, id, max(how) FROM more m WHERE NOT EXISTS (SELECT 1 FROM own o WHERE o.request = m.request AND o.id = m.id) GROUP BY ALL""",
     "unified_pack": _RANKED
     + _PACK_FILL.replace("1500", "900").replace(_BUDGET, _BUDGET_900)
     + _LAYERS

@@ -168,10 +168,12 @@ def dedup_matches(spark: SparkSession, d: str) -> DataFrame:
     return lifecycle.likely_duplicates(nodes, nodes)
 
 
-def conflicting_notes(spark: SparkSession, d: str) -> DataFrame:
-    """Notes and their parents whose summaries use opposing words."""
-    nodes = _nodes(spark, d)
-    return lifecycle.contradictions(nodes.where("parent_id is not null").select(F.col("id").alias("id_a"), F.col("parent_id").alias("id_b")), nodes.select("id", F.col("summary").alias("text")))
+def conflicting_revisions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents and the one of their path that arrived before, where their texts use opposing words."""
+    docs = table(spark, d, "documents").where("source_path is not null and text is not null")
+    before = F.lag("doc_id").over(Window.partitionBy("project_id", "source_path").orderBy("created_at", "doc_id"))
+    pairs = docs.select(F.col("doc_id").alias("id_a"), before.alias("id_b")).where("id_b is not null")
+    return lifecycle.contradictions(pairs, docs.select(F.col("doc_id").alias("id"), "text"))
 
 
 def archived_notes(spark: SparkSession, d: str) -> DataFrame:
@@ -242,7 +244,7 @@ def refreshed_notes(spark: SparkSession, d: str) -> DataFrame:
     return done.select("id", "status", F.date_format("updated_at", "yyyy-MM-dd").alias("updated_on"))
 
 
-NAMES = "chunk_markdown chunk_code chunk_test_report chunk_diff chunk_log propositions proposition_spans exact_dedupe latest_document ingest_outcome doc_chunk_counts retention_counts status_report node_evidence tree_paths inspect_children consolidated_titles compaction_groups dedup_matches deleted_projects refreshed_notes conflicting_notes archived_notes stale_chunks next_manifest vectors_to_make related_notes paragraphs_code paragraphs_text module_summaries code_propositions"
+NAMES = "chunk_markdown chunk_code chunk_test_report chunk_diff chunk_log propositions proposition_spans exact_dedupe latest_document ingest_outcome doc_chunk_counts retention_counts status_report node_evidence tree_paths inspect_children consolidated_titles compaction_groups dedup_matches deleted_projects refreshed_notes conflicting_revisions archived_notes stale_chunks next_manifest vectors_to_make related_notes paragraphs_code paragraphs_text module_summaries code_propositions"
 QUERIES = {name: globals()[name] for name in NAMES.split()}
 
 _NODES = "WITH RECURSIVE nodes AS (SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY updated_at DESC, status, retrieval_count DESC) AS n FROM memory_nodes) WHERE n = 1)"
@@ -379,7 +381,9 @@ FROM (SELECT *, row_number() OVER (PARTITION BY project_id, parent_id, kind ORDE
     + " SELECT project_id, count(*) AS n_notes, coalesce(sum(n), 0)::BIGINT AS n_evidence FROM nodes LEFT JOIN (SELECT memory_node_id, count(*) AS n FROM (SELECT DISTINCT id, memory_node_id FROM evidence) GROUP BY ALL) e ON e.memory_node_id = id WHERE lower(trim(status)) <> 'archived' GROUP BY ALL",
     "refreshed_notes": _NODES + " SELECT id, CASE WHEN e.last < TIMESTAMP '2024-03-01' THEN 'stale' ELSE status END AS status, CASE WHEN e.memory_node_id IS NOT NULL THEN '2024-09-01' ELSE strftime(updated_at, '%Y-%m-%d') END AS updated_on FROM nodes LEFT JOIN (SELECT memory_node_id, max(created_at) AS last FROM evidence GROUP BY ALL) e ON e.memory_node_id = id",
     "dedup_matches": _NODES + _DUPLICATES + "SELECT * FROM dup",
-    "conflicting_notes": _NODES + ", l AS (SELECT id, parent_id, list_distinct(regexp_extract_all(lower(summary), '[\\p{L}\\p{M}\\p{N}_]+')) AS l FROM nodes) SELECT x.id AS id_a, y.id AS id_b FROM l x JOIN l y ON y.id = x.parent_id WHERE " + _OPPOSED,
+    "conflicting_revisions": """WITH r AS (SELECT doc_id, lag(doc_id) OVER (PARTITION BY project_id, source_path ORDER BY created_at, doc_id) AS b, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}_]+')) AS l FROM documents WHERE source_path IS NOT NULL AND text IS NOT NULL)
+SELECT x.doc_id AS id_a, y.doc_id AS id_b FROM r x JOIN r y ON y.doc_id = x.b WHERE """
+    + _OPPOSED,
     "archived_notes": _NODES
     + """ SELECT id, CASE WHEN hit THEN 'archived' ELSE status END AS status, CASE WHEN hit THEN 'no update' ELSE coalesce(archived_reason, '') END AS reason, CASE WHEN hit THEN '2024-09-01' ELSE strftime(updated_at, '%Y-%m-%d') END AS updated_on
 FROM (SELECT *, updated_at < TIMESTAMP '2024-03-01' AND lower(trim(status)) <> 'archived' AS hit FROM nodes)""",
@@ -397,7 +401,7 @@ WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM knowledge_chunks k WHERE k.embedding_s
     "related_notes": _NODES
     + """, e AS (SELECT id AS s, parent_id AS t, 'part_of' AS relation_type FROM nodes WHERE parent_id IS NOT NULL AND parent_id <> id UNION SELECT id, compacted_into_id, 'compacted_into' FROM nodes WHERE compacted_into_id IS NOT NULL AND compacted_into_id <> id),
 p AS (SELECT s AS id, t AS peer, relation_type FROM e UNION SELECT t, s, relation_type FROM e)
-SELECT p.id, p.peer, p.relation_type, lower(trim(n.status)) IN ('stale', 'superseded') AS conflict FROM p JOIN nodes n ON n.id = p.peer""",
+SELECT p.id, p.peer, p.relation_type, lower(trim(n.status)) IN ('stale', 'superseded') AS conflict FROM p JOIN nodes n ON n.id = p.peer WHERE p.id IN (SELECT id FROM nodes)""",
 }
 
 _PARTS = "evidence_texts AS (SELECT DISTINCT id, content AS c0, 0 AS n0 FROM evidence)"
