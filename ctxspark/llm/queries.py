@@ -157,6 +157,16 @@ QUERIES = {
 }
 
 ORACLE = {
+    "p1_found": r"""
+WITH recs AS (SELECT DISTINCT 'memory_nodes' AS source_table, id, lower(summary) AS t FROM memory_nodes WHERE id IS NOT NULL AND summary IS NOT NULL
+  UNION SELECT DISTINCT 'knowledge_chunks', chunk_id, lower(content) FROM knowledge_chunks WHERE chunk_id IS NOT NULL AND content IS NOT NULL),
+words AS (SELECT source_table, t, row_number() OVER () AS tid, l FROM (SELECT DISTINCT source_table, t, regexp_extract_all(t, '[a-z0-9_]+') AS l FROM recs) WHERE len(l) >= 12),
+members AS (SELECT source_table, id, tid FROM recs JOIN words USING (source_table, t)),
+sh AS (SELECT DISTINCT source_table, tid, s FROM (SELECT source_table, tid, unnest(list_transform(range(1, len(l) - 1), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) AS s FROM words)),
+n AS (SELECT tid, count(*) AS n FROM sh GROUP BY tid),
+shared AS (SELECT a.tid AS x, b.tid AS y, count(*) AS c FROM sh a JOIN sh b USING (source_table, s) WHERE a.tid < b.tid GROUP BY ALL),
+near AS (SELECT x, y FROM shared JOIN n nx ON nx.tid = x JOIN n ny ON ny.tid = y WHERE c / (nx.n + ny.n - c) >= 0.6 UNION ALL SELECT tid, tid FROM n)
+SELECT DISTINCT a.source_table, least(a.id, b.id) AS id_a, greatest(a.id, b.id) AS id_b FROM near JOIN members a ON a.tid = x JOIN members b ON b.tid = y WHERE a.id <> b.id""",
     "p3_found": r"""
 WITH RECURSIVE big AS (SELECT DISTINCT chunk_id, content FROM knowledge_chunks WHERE length(content) // 4 > 1200),
 parts AS (SELECT chunk_id, row_number() OVER () AS doc, string_split(content, chr(10)) AS l FROM big),
