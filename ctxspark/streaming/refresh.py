@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ctxspark.operators.lifecycle import ingestion_outcomes, latest
 from ctxspark.runtime import shared_dir
@@ -32,20 +33,31 @@ def session_counts(events: DataFrame, user: str, time: str, gap: str, late: str
     return s.select(user, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n_events")
 
 
-def run_ingestion(stream: DataFrame, state_dir: str, checkpoint: str) -> None:
+def ingestion_state(spark: SparkSession, state_dir: str, schema: T.StructType, n: int, full_every: int = 50) -> DataFrame:
+    """The state before batch `n`: the newest row of each path in the versions from the last whole one on."""
+    if n == 0:
+        return spark.createDataFrame([], schema)
+    start = (n - 1) // full_every * full_every
+    rows = spark.read.schema(T.StructType([*schema.fields, T.StructField("v", T.IntegerType())])).option("basePath", state_dir).parquet(*[f"{state_dir}/v={i}" for i in range(start, n)])
+    newest = rows.groupBy("project_id", "source_path").agg(F.max_by(F.struct(*schema.names), "v").alias("x"))
+    return newest.select("x.*").select(*schema.names)
+
+
+def run_ingestion(stream: DataFrame, state_dir: str, checkpoint: str, full_every: int = 50) -> None:
     """Takes all waiting documents into the state, micro-batch by micro-batch.
 
-    stream: project_id, source_path, content_hash, created_at, doc_id. Each batch reads the state of
-    the batch before it and writes its own, numbered by the batch, so that a repeated batch writes
-    the same again; duplicates by path and hash change nothing."""
+    stream: project_id, source_path, content_hash, created_at, doc_id. Each batch writes what it
+    changes as a version of its own, numbered by the batch, so that a repeated batch writes the same
+    again; every `full_every` batches the version is the whole state, and reading goes back no
+    further. Duplicates by path and hash change nothing."""
 
     def upsert(batch: DataFrame, n: int) -> None:
-        spark = batch.sparkSession
-        state = spark.read.parquet(f"{state_dir}/v={n - 1}") if n > 0 else spark.createDataFrame([], batch.schema)
+        state = ingestion_state(batch.sparkSession, state_dir, batch.schema, n, full_every)
         new = latest(batch, ["project_id", "source_path"], [F.desc("created_at"), F.desc("doc_id")])
-        changed = ingestion_outcomes(new, state).where("outcome <> 'duplicate'").drop("outcome")
-        kept = state.join(changed.select("project_id", "source_path"), ["project_id", "source_path"], "left_anti")
-        kept.unionByName(changed).write.mode("overwrite").parquet(f"{state_dir}/v={n}")
+        changed = ingestion_outcomes(new, state).where("outcome <> 'duplicate'").drop("outcome").select(*batch.schema.names)
+        if n % full_every == 0:
+            changed = state.join(changed.select("project_id", "source_path"), ["project_id", "source_path"], "left_anti").select(*batch.schema.names).unionByName(changed)
+        changed.write.mode("overwrite").parquet(f"{state_dir}/v={n}")
 
     stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

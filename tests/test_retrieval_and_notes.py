@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ctxspark.functions import text as X
 from ctxspark.operators import chunking, context, lifecycle, paragraphs, search
 from ctxspark.sources import files
+from ctxspark.streaming import refresh
 
 
 def _one(spark, column, **values):
@@ -166,3 +167,18 @@ def test_files_of_any_name(spark, tmp_path):
     assert files.scan_files(spark, str(tmp_path / "none")).collect() == []
     assert _one(spark, files.line_range(F.col("t"), F.lit(2), F.lit(3)), t="a\npassword = hunter22\nc\nd") == "[REDACTED]\nc"
     assert _one(spark, files.line_range(F.col("t"), F.lit(9), F.lit(3)), t="a") == ""
+
+
+@pytest.mark.parametrize("full_every", [2, 50])
+def test_ingestion_writes_what_changed(spark, tmp_path, full_every):
+    schema = "project_id string, source_path string, content_hash string, created_at timestamp, doc_id int"
+    batches = [[("p", "a", "h1", 1), ("p", "b", "h1", 2)], [("p", "a", "h1", 3), ("p", "c", "h1", 4)], [("p", "b", "h2", 5)], [("p", "a", "h3", 6), ("p", "a", "h2", 5)]]
+    for rows in batches:
+        df = spark.createDataFrame(rows, "project_id string, source_path string, content_hash string, doc_id int").withColumn("created_at", F.timestamp_seconds("doc_id"))
+        df.select("project_id", "source_path", "content_hash", "created_at", "doc_id").coalesce(1).write.parquet(str(tmp_path / "in"), mode="append")
+    read = spark.read.parquet(str(tmp_path / "in"))
+    refresh.run_ingestion(refresh.arrivals(spark, str(tmp_path / "in"), read.schema, 1), str(tmp_path / "state"), str(tmp_path / "log"), full_every)
+    state = refresh.ingestion_state(spark, str(tmp_path / "state"), read.schema, 4, full_every)
+    assert {(r.source_path, r.content_hash) for r in state.collect()} == {("a", "h3"), ("b", "h2"), ("c", "h1")} and schema
+    sizes = [spark.read.parquet(str(tmp_path / f"state/v={i}")).count() for i in range(4)]
+    assert sizes == ([2, 1, 3, 1] if full_every == 2 else [2, 1, 1, 1])
