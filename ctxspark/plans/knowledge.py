@@ -162,9 +162,9 @@ def compaction_groups(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dedup_matches(spark: SparkSession, d: str) -> DataFrame:
-    """Likely duplicates of each note among all others: notes come again in other projects, so that all
-    projects are one here."""
-    nodes = _nodes(spark, d).select("id", F.lit("all").alias("project_id"), "kind", "module_path", "title", "summary")
+    """Likely duplicates of each note among those on the same module, whatever their project: notes come
+    again in other projects, so that the module is the scope here."""
+    nodes = _nodes(spark, d).select("id", F.coalesce("module_path", F.lit("")).alias("project_id"), "kind", "module_path", "title", "summary")
     return lifecycle.likely_duplicates(nodes, nodes)
 
 
@@ -271,13 +271,13 @@ _SEQUENCE = """(SELECT doc_id, document_id, CASE WHEN row_number() OVER w = 1 TH
   FROM documents WHERE source_path IS NOT NULL WINDOW w AS (PARTITION BY project_id, source_path ORDER BY created_at, doc_id))"""
 _DUPLICATES = r""", w AS (SELECT id, project_id, kind, list_distinct(list_filter(regexp_extract_all(lower(title), '[\p{L}\p{M}\p{N}_]+'), lambda x: len(x) > 2)) AS t,
   list_distinct(list_filter(regexp_extract_all(lower(title || ' ' || left(summary, 200)), '[\p{L}\p{M}\p{N}_]+'), lambda x: len(x) > 2)) AS e,
-  list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(coalesce(module_path, ''), '[._/]', ' ', 'g')), '[\p{L}\p{M}\p{N}_]+'), lambda x: len(x) > 2)) AS m FROM nodes),
+  list_distinct(list_filter(regexp_extract_all(lower(regexp_replace(coalesce(module_path, ''), '[._/]', ' ', 'g')), '[\p{L}\p{M}\p{N}_]+'), lambda x: len(x) > 2)) AS m, coalesce(module_path, '') AS scope FROM nodes),
 tw AS (SELECT id, unnest(t) AS x FROM w), ew AS (SELECT id, unnest(e) AS x FROM w), mw AS (SELECT id, unnest(m) AS x FROM w),
 ti AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM tw a JOIN tw b USING (x) WHERE a.id <> b.id GROUP BY ALL),
 ei AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM ew a JOIN ew b USING (x) WHERE a.id <> b.id GROUP BY ALL),
 mi AS (SELECT a.id AS id_a, b.id AS id_b, count(*) AS c FROM mw a JOIN mw b USING (x) WHERE a.id <> b.id GROUP BY ALL),
 s AS (SELECT ei.id_a, ei.id_b, round(0.6 * greatest(coalesce(ti.c / (len(a.t) + len(b.t) - ti.c), 0), 0.8 * ei.c / (len(a.e) + len(b.e) - ei.c)) + 0.2 * coalesce((a.kind = b.kind)::INTEGER, 0) + 0.2 * coalesce(mi.c / len(a.m), 0), 4)::DOUBLE AS score
-  FROM ei JOIN w a ON a.id = ei.id_a JOIN w b ON b.id = ei.id_b LEFT JOIN ti ON ti.id_a = ei.id_a AND ti.id_b = ei.id_b LEFT JOIN mi ON mi.id_a = ei.id_a AND mi.id_b = ei.id_b),
+  FROM ei JOIN w a ON a.id = ei.id_a JOIN w b ON b.id = ei.id_b LEFT JOIN ti ON ti.id_a = ei.id_a AND ti.id_b = ei.id_b LEFT JOIN mi ON mi.id_a = ei.id_a AND mi.id_b = ei.id_b WHERE a.scope = b.scope),
 dup AS (SELECT id_a, id_b, score, CASE WHEN score >= 0.8 THEN 'near' ELSE 'partial' END AS band, row_number() OVER (PARTITION BY id_a ORDER BY score DESC, id_b) = 1 AS best FROM s WHERE score >= 0.5)
 """
 _SIDES = [
