@@ -12,7 +12,7 @@ from ctxspark.operators import search
 NOTE_WEIGHTS = {"lexical": 0.35, "module": 0.10, "symbol": 0.05, "affinity": 0.10, "tree": 0.15, "importance": 0.10, "confidence": 0.10, "fresh": 0.10}
 
 #: Tokens of the kinds of notes in a pack of 6,000.
-BUCKETS = {"constraint": 800, "architecture": 900, "module": 1800, "decision": 1700, "debug": 1700, "outcome": 1700, "procedure": 500}
+BUCKETS = {"constraint": 800, "architecture": 900, "module": 1800, "decision": 1700, "debug": 1700, "procedure": 500}
 
 #: Worth of a layer by its place among the preferred ones, and of any other.
 LAYER_WORTH, OTHER_LAYER = [1.0, 0.6, 0.3], 0.2
@@ -86,7 +86,7 @@ def rank_notes(requests: DataFrame, notes: DataFrame, as_of: str, affinity: Data
     """The k best notes of each request's project (request, id, kind, n_tokens, score, rank).
 
     requests: request, scope, text, files (array), and optionally intent. notes: id, project_id,
-    kind, title, summary, tags, module_path, depth, importance, confidence, updated_at, status. Stale,
+    kind, title, summary, tags, module_path, depth, importance, confidence, updated_at, and optionally status: stale,
     superseded and archived notes are left out. affinity: (intent, kind, weight), 0.5 where it has no
     row. With `branches`, requests have `branch` too, notes branch_name, branch_scope and module_path
     as their source, and the score is `branch_score`.
@@ -99,7 +99,8 @@ def rank_notes(requests: DataFrame, notes: DataFrame, as_of: str, affinity: Data
         F.col("intent") if "intent" in requests.columns else F.lit("unknown").alias("intent"), *(["branch", "files"] if branches else []),
         F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("part"),
     )
-    node = notes.where(excluded(F.col("status")).isNull()).select(
+    shown = notes.where(excluded(F.col("status")).isNull()) if "status" in notes.columns else notes
+    node = shown.select(
         F.col("project_id").alias("scope"), "id", "kind", word_set(F.concat_ws(" ", "title", "summary", F.array_join(F.coalesce("tags", F.array()), " "))).alias("w"),
         word_set(F.regexp_replace(F.coalesce("module_path", F.lit("")), r"\.", " ")).alias("m"), F.array_distinct(F.transform(F.coalesce("tags", F.array()), F.lower)).alias("t"), "depth", "importance", "confidence",
         freshness(F.col("updated_at"), F.lit(as_of)).alias("fresh"), token_estimate(F.coalesce("summary", F.lit(""))).alias("n_tokens"),
@@ -132,10 +133,10 @@ def rank_notes(requests: DataFrame, notes: DataFrame, as_of: str, affinity: Data
 
 def note_pack(ranked: DataFrame, total: int = 6000) -> DataFrame:
     """Ranked notes that fit into their kind's share of `total` tokens, greedily: a note too large is
-    skipped and smaller ones after it may still be taken. Decisions, incidents and outcomes share a bucket."""
+    skipped and smaller ones after it may still be taken. Decisions and incidents share a bucket; outcomes are in no pack."""
     bucket, budget = F.lit(None).cast("string"), F.lit(0)
     for kind, tokens in BUCKETS.items():
-        bucket = F.when(F.col("kind") == kind, "decision" if kind in ("debug", "outcome") else kind).otherwise(bucket)
+        bucket = F.when(F.col("kind") == kind, "decision" if kind == "debug" else kind).otherwise(bucket)
         budget = F.when(F.col("kind") == kind, int(tokens * total / 6000)).otherwise(budget)
     rows = ranked.withColumn("bucket", bucket).withColumn("budget", budget).where("bucket is not null")
     filled = search.greedy_budget(rows, ["request", "bucket"], ["rank"], "id", "n_tokens", F.col("budget"))
@@ -188,7 +189,10 @@ def layered_search(layers: dict[str, DataFrame], requests: DataFrame, preferred:
     `preferred`, with whether a statement is of one of `types` (neutral for texts without a type, or
     without `types`), with the quality of the source's path, and with freshness. The 2k best are kept,
     one for each beginning of 150 characters; rows are taken while the budget is not reached.
-    texts: layer, id, text, type, source_path."""
+    texts: layer, id, text, and optionally type and source_path."""
+    for name in ("type", "source_path"):
+        if name not in texts.columns:
+            texts = texts.withColumn(name, F.lit(None).cast("string"))
     hits = None
     for name, index in layers.items():
         part = search.bm25(index, requests).select("request", F.lit(name).alias("layer"), "id", "score")
