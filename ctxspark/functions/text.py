@@ -104,9 +104,11 @@ def first_sentence(text: Column) -> Column:
 def hashed_terms(text: Column, buckets: int = 384) -> Column:
     """A vector of `buckets` numbers: counts of the text's terms by hash, of length 1 (all 0 for none)."""
     slots = F.transform(terms(text), lambda t: F.pmod(F.xxhash64(t), F.lit(buckets)))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.size(F.filter(slots, lambda x: x == i)).cast("double"))
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
-    return F.transform(counts, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))
+    once = lambda value, use: F.transform(F.array(value), use)[0]  # noqa: E731  # evaluates `value` once
+    counted = lambda found: F.transform(F.sequence(F.lit(0), F.lit(buckets - 1)), lambda i: F.size(F.filter(found, lambda x: x == i)).cast("double"))
+    norm = lambda counts: F.sqrt(F.aggregate(counts, F.lit(0.0), lambda a, x: a + x * x))
+    scaled = lambda counts: once(norm(counts), lambda n: F.transform(counts, lambda x: F.when(n > 0, x / n).otherwise(0.0)))
+    return once(slots, lambda found: once(counted(found), scaled))
 
 
 #: How reliable a kind of source is; a path that has the name of one counts as it.
