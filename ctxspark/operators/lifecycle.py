@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ctxspark.functions.text import contradicts, jaccard, word_set
+from ctxspark.runtime import written
 
 
 def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
@@ -13,6 +16,68 @@ def latest(rows: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+#: Rows of a key that are compared in one task, on each side.
+BLOCK = 32_768
+#: Rows of a key below which pairs of many keys are compared in one go, and pairs of such a go.
+_FEW, _GO = 1024, 1 << 20
+
+
+def _close_pairs(frame: pd.DataFrame, least: np.ndarray) -> pd.DataFrame:
+    """(a, b): pairs of a row of side 0 and one of side 1 with the same key whose marks allow a
+    similarity of least[level], for the titles or, divided by 0.8, for the longer texts.
+
+    A mark has the parity of the words that fall on each of its bits, so that two marks differ in no
+    more bits than their sets in words: for a similarity of t at most (1 - t) / (1 + t) of the words
+    of both. No pair is lost."""
+    frame = frame.sort_values("key", kind="stable")
+    x, y = ({c: part[c].to_numpy() for c in part.columns} for part in (frame[frame["side"] == 0], frame[frame["side"] == 1]))
+    marks = {s: [(x[f"{s}{i}"].view(np.uint64), y[f"{s}{i}"].view(np.uint64)) for i in (1, 2)] for s in "te"}
+    share = {s: np.array([(1 - t) / (1 + t) if t <= 1 + 1e-9 else -1.0 for t in least / scale]) for s, scale in (("t", 1.0), ("e", 0.8))}
+
+    def limits(s: str, level: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """One more than the bits that may differ; 0 where nothing is similar enough."""
+        most = np.floor(share[s][level] * (n + m) + 1e-6) + 1
+        return np.where((n > 0) & (m > 0), np.clip(most, 0, 255), 0).astype(np.uint8)
+
+    def kept(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        close = np.zeros(len(i), dtype=bool)
+        for s in "te":
+            limit = limits(s, x["level"][i], x[f"n{s}"][i], y[f"n{s}"][j])
+            both = np.ones(len(i), dtype=bool)
+            for own, other in marks[s]:
+                both &= np.bitwise_count(own[i] ^ other[j]) < limit
+            close |= both
+        close &= x["h"][i] != y["h"][j]
+        return close
+
+    low, high = np.searchsorted(y["key"], x["key"], "left"), np.searchsorted(y["key"], x["key"], "right")
+    n, out = high - low, []
+    few = np.flatnonzero((n > 0) & (n < _FEW))
+    for part in np.split(few, np.flatnonzero(np.diff(np.cumsum(n[few]) // _GO)) + 1):
+        i = np.repeat(part, n[part])
+        j = np.arange(len(i)) - np.repeat(np.cumsum(n[part]) - n[part], n[part]) + low[i]
+        some = kept(i, j)
+        out.append((i[some], j[some]))
+    begun, known = -1, {}
+    for i in np.flatnonzero(n >= _FEW):
+        run = slice(low[i], high[i])
+        if begun != low[i]:
+            begun, known = low[i], {}
+        close = np.zeros(n[i], dtype=bool)
+        for s in "te":
+            at = (s, x["level"][i], x[f"n{s}"][i])
+            if at not in known:
+                known[at] = limits(s, x["level"][i : i + 1], x[f"n{s}"][i : i + 1], y[f"n{s}"][run])
+            own, other = marks[s][0]
+            close |= np.bitwise_count(other[run] ^ own[i]) < known[at]
+        j = np.flatnonzero(close) + low[i]
+        to = np.full(len(j), i)
+        some = kept(to, j)
+        out.append((to[some], j[some]))
+    i, j = (np.concatenate([np.empty(0, np.int64), *(o[k] for o in out)]) for k in (0, 1))
+    return pd.DataFrame({"a": x["h"][i], "b": y["h"][j]}).drop_duplicates()
+
+
 def likely_duplicates(candidates: DataFrame, nodes: DataFrame, least: float = 0.5) -> DataFrame:
     """Existing notes that candidates of the same project may repeat.
 
@@ -20,47 +85,67 @@ def likely_duplicates(candidates: DataFrame, nodes: DataFrame, least: float = 0.
     0.8 similarity of title and first 200 characters of the summary) + 0.2 same kind + 0.2 share of
     the candidate's module words in the note's; kept from `least` on, near from 0.8.
 
-    Two word sets of similarity t share one of the n - ceil(t n) + 1 rarest words of each. A pair of
-    different kinds, or without a common module word, needs similarities so high that few words are
-    joined; all other pairs are joined on kind and module word as well. So nothing is lost, and
-    common words are no keys. Only words and ids are joined, and a pair's sets are compared once."""
+    What similarity of words a pair needs depends on what else it has in common: notes of one kind and
+    module word meet under a low one, notes of one kind or one module word under a middle one, all
+    others only where they share two of the first n - ceil(t n) + 2 words of their sets, the longest
+    first. Within a key, all pairs are held against 64-bit marks of their words (`_close_pairs`), in
+    blocks of `BLOCK` rows a side; only pairs whose marks are close enough are compared by words. So
+    nothing is lost, and words that are no key are not joined."""
     if least <= 0.4:
         raise ValueError("the join on words is complete only above 0.4")
+    raw = least - 0.00005  # scores are rounded to four digits
+    levels = np.array([(raw - 0.4) / 0.6, (raw - 0.2) / 0.6, raw / 0.6])
 
-    def words(df: DataFrame, suffix: str) -> DataFrame:
+    def bits(name: str, seed: int) -> Column:
+        return F.aggregate(name, F.lit(0).cast("long"), lambda acc, w: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(w, F.lit(seed)), F.lit(64)).cast("int"))))
+
+    def words(df: DataFrame) -> DataFrame:
         extended = F.concat_ws(" ", "title", F.substring("summary", 1, 200))
-        return df.select(
-            F.col("id").alias(f"id_{suffix}"), "project_id", F.col("kind").alias(f"kind_{suffix}"), word_set(F.col("title")).alias(f"t_{suffix}"),
-            word_set(extended).alias(f"e_{suffix}"), word_set(F.regexp_replace(F.coalesce("module_path", F.lit("")), r"[._/]", " ")).alias(f"m_{suffix}"),
+        sets = df.where("project_id is not null and id is not null").select(
+            "id", "project_id", "kind", F.xxhash64("id").alias("h"), F.coalesce(word_set(F.col("title")), F.array().cast("array<string>")).alias("t"),
+            word_set(extended).alias("e"), word_set(F.regexp_replace(F.coalesce("module_path", F.lit("")), r"[._/]", " ")).alias("m"),
         )
-
-    a, b = words(candidates, "a"), words(nodes, "b")
-    strong, weak = (least - 0.2) / 0.6, (least - 0.4) / 0.6
-
-    def placed(df: DataFrame, suffix: str, df_of: DataFrame | None) -> DataFrame:
-        """(id, project, kind, modules, set, word, place, n): words of both sets, the rarest first."""
-        sets = F.array(F.struct(F.lit("t").alias("set"), F.col(f"t_{suffix}").alias("w")), F.struct(F.lit("e").alias("set"), F.col(f"e_{suffix}").alias("w")))
-        each = df.select(F.col(f"id_{suffix}").alias("id"), "project_id", F.col(f"kind_{suffix}").alias("kind"), F.col(f"m_{suffix}").alias("m"), F.explode(sets).alias("s"))
-        each = each.select("id", "project_id", "kind", "m", "s.set", F.size("s.w").alias("n"), F.explode("s.w").alias("word"))
-        if df_of is None:
-            return each
-        rare = F.row_number().over(Window.partitionBy("id", "project_id", "set").orderBy(F.coalesce("df", F.lit(0)), "word"))
-        return each.join(df_of, ["project_id", "set", "word"], "left").withColumn("place", rare)
-
-    df_of = placed(b, "b", None).groupBy("project_id", "set", "word").agg(F.count("*").alias("df"))
-    left, right = placed(a, "a", df_of), placed(b, "b", df_of)
-
-    def joined(t: float, also: list[str], widen: bool) -> DataFrame:
-        # a similarity of t counts 0.8 t for the extended set
-        reach = F.when(F.col("set") == "t", F.lit(t)).otherwise(F.lit(min(t / 0.8, 1.0)))
-        kept = lambda df, name: df.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * reach - 1e-9) + 1).select(
-            F.col("id").alias(name), "project_id", "kind", "set", "word", *([F.explode("m").alias("module")] if widen else [])
-        )
-        keys = ["project_id", "set", "word", *also]
-        return kept(left, "id_a").select("id_a", *keys).join(kept(right, "id_b").select("id_b", *keys), keys).where("id_a <> id_b").select("id_a", "id_b")
-
-    pairs = joined(strong, [], False).union(joined(weak, ["kind", "module"], True)).distinct()
-    both = pairs.join(a, "id_a").join(b.drop("project_id"), "id_b")
+        return written(sets.select("*", *[bits(s, i).alias(f"{s}{i}") for s in "te" for i in (1, 2)]))
+
+    def rare_pairs(name: str, t: float) -> Column:
+        """Keys of which two sets of a similarity of t > 0.5 share one: pairs of words; the word of a set of one."""
+        n = F.size(name)
+        order = F.transform(F.array_sort(F.transform(name, lambda w: F.struct((-F.length(w)).alias("l"), w.alias("w")))), lambda x: x["w"])
+        first = F.slice(order, F.lit(1), F.least(n, F.greatest(F.lit(0), n - F.ceil(n * t - 1e-9).cast("int") + 2)))
+        pairs = F.flatten(F.transform(first, lambda w, i: F.transform(F.slice(first, i + 2, F.size(first)), lambda v: F.xxhash64(F.lit(name), "project_id", w, v))))
+        return F.when(n == 1, F.transform(name, lambda w: F.xxhash64(F.lit(name), "project_id", w))).otherwise(pairs)
+
+    b = words(nodes)
+    a = b if candidates is nodes else words(candidates)
+    key = lambda level, k: F.struct(F.lit(level).alias("level"), k.alias("key"))
+    none = F.array().cast("array<struct<level:int,key:bigint>>")
+
+    def keyed(df: DataFrame, side: int) -> DataFrame:
+        of_kind = F.col("kind").isNotNull()
+        keys = [
+            F.when(of_kind, F.transform("m", lambda w: key(0, F.xxhash64(F.lit("km"), "project_id", "kind", w)))).otherwise(none),
+            F.transform("m", lambda w: key(1, F.xxhash64(F.lit("m"), "project_id", w))),
+            F.when(of_kind, F.array(key(1, F.xxhash64(F.lit("k"), "project_id", "kind")))).otherwise(none),
+            *[F.transform(rare_pairs(s, t), lambda k: key(2, k)) for s, t in (("t", levels[2]), ("e", levels[2] / 0.8)) if t <= 1 + 1e-9],
+        ]
+        every = df.select(F.explode(F.concat(*keys)).alias("k"), "h", "t1", "t2", "e1", "e2", F.size("t").alias("nt"), F.size("e").alias("ne"))
+        return every.select("k.key", "k.level", F.lit(side).alias("side"), *every.columns[1:])
+
+    left, right = keyed(a, 0), keyed(b, 1)
+    spark = nodes.sparkSession
+    n_rows = left.select("key").unionByName(right.select("key")).groupBy("key").agg(F.count("*").alias("n"))
+    large = n_rows.where(F.col("n") > BLOCK).select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    large = spark.createDataFrame(large.collect(), "key long, blocks int")  # one row for each BLOCK rows at most
+    numbers = F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)
+    own = F.pmod(F.xxhash64("h"), F.coalesce("blocks", F.lit(1))).cast("int")
+    cut = lambda df, mine, theirs: df.join(F.broadcast(large), "key", "left").withColumn(mine, own).withColumn(theirs, F.explode(numbers)).drop("blocks")
+    rows = cut(left, "ab", "bb").unionByName(cut(right, "bb", "ab"))
+    tasks = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), (a.count() + b.count()) // 20_000)
+    bucket = F.pmod(F.xxhash64("key", "ab", "bb"), F.lit(tasks))
+    pairs = rows.withColumn("bucket", bucket).groupBy("bucket").applyInPandas(lambda frame: _close_pairs(frame, levels), "a long, b long").distinct()
+
+    side = lambda df, s: df.select(F.col("h").alias(s), *[F.col(c).alias(f"{c}_{s}") for c in ("id", "project_id", "kind", "t", "e", "m")])
+    both = pairs.join(side(a, "a"), "a").join(side(b, "b"), "b").where("project_id_a = project_id_b and id_a <> id_b")
     module = F.coalesce(F.try_divide(F.size(F.array_intersect("m_a", "m_b")), F.size("m_a")), F.lit(0.0))
     same = F.coalesce((F.col("kind_a") == F.col("kind_b")).cast("int"), F.lit(0))
     score = 0.6 * F.greatest(jaccard(F.col("t_a"), F.col("t_b")), 0.8 * jaccard(F.col("e_a"), F.col("e_b"))) + 0.2 * same + 0.2 * module
