@@ -259,10 +259,8 @@ def near_duplicates(
     ids = written(signed.select("source", "id", "c").distinct())
     members = ids.join(ids.groupBy("c").agg(F.min("id").alias("class_id")), "c").select("source", "id", "c", "class_id")
 
-    banded = signed.select("c", F.xxhash64("source").alias("x"), F.explode("keys").alias("k")).select("c", F.expr("k ^ x").alias("k")).repartition("k").distinct()
-    # buckets of one text are dropped before anything is joined; all of this shares one exchange
-    sizes = banded.groupBy("k").count().where("count > 1")
-    shared_keys = written(banded.join(sizes, "k"))
+    banded = signed.select("c", F.xxhash64("source").alias("x"), F.explode("keys").alias("k")).select("c", F.expr("k ^ x").alias("k")).repartition("k")
+    shared_keys = written(_shared(banded))
     forget(signed)
     cool = shared_keys.where(F.col("count") <= bucket)
     any_hot = shared_keys.where(F.col("count") > bucket).limit(1).count() > 0
@@ -303,6 +301,17 @@ def near_duplicates(
     return NearDuplicates(members, links.where((F.col("weighted") >= similarity) & (F.col("plain") >= plain_similarity)))
 
 
+def _shared(banded: DataFrame) -> DataFrame:
+    """The distinct (c, k) of keys that more than one text has, and how many those are (count).
+
+    banded: c, k, with repeats, partitioned by k; both readings share its one exchange. Most keys have
+    one text: they go by the least and greatest c, in one number-only aggregate, and the few that are
+    left are the built side of a hash join, so that neither sorts nor distinct rows of all keys are needed."""
+    several = banded.groupBy("k").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("k")
+    left = banded.join(several.hint("shuffle_hash"), "k", "left_semi").distinct()
+    return left.select("k", "c", F.count("*").over(Window.partitionBy("k")).alias("count"))
+
+
 def _prefix_pairs(texts: DataFrame, size: int, least: float) -> DataFrame:
     """Pairs of texts that may have a plain Jaccard similarity of at least `least`: each text's
     shingles are ordered from rare to common, and two such texts share one among their first
