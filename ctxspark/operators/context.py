@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,7 +95,8 @@ def rank_notes(requests: DataFrame, notes: DataFrame, as_of: str, affinity: Data
 
     Every note of the project is scored, because most signals need no common word. A project's notes
     lie in `slices` parts by id, each of which a request meets on its own and of which it keeps its k
-    best, so that no project is one key; only word sets and numbers travel."""
+    best, so that no project is one key; only word sets and numbers travel. Without `branches`, a part's
+    requests and notes meet in one task and their pairs are never rows (`_scored_pairs`)."""
     asked = requests.select(
         "request", "scope", word_set(F.col("text")).alias("q"), F.array_distinct(F.flatten(F.transform("files", lambda f: word_set(F.regexp_replace(f, r"[/\\._-]", " "))))).alias("stems"),
         F.col("intent") if "intent" in requests.columns else F.lit("unknown").alias("intent"), *(["branch", "files"] if branches else []),
@@ -106,6 +109,9 @@ def rank_notes(requests: DataFrame, notes: DataFrame, as_of: str, affinity: Data
         freshness(F.col("updated_at"), F.lit(as_of)).alias("fresh"), token_estimate(F.coalesce("summary", F.lit(""))).alias("n_tokens"),
         *(["branch_name", "branch_scope", "module_path"] if branches else []), F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("part"),
     )
+    if not branches:
+        found = _scored_pairs(asked, node, {} if affinity is None else {(r["intent"], r["kind"]): r["weight"] for r in affinity.collect()}, k, 2 * 10.0**-digits)
+        return search._ranked(found.select("request", "id", "kind", "n_tokens", F.round("raw", digits).alias("score")), k)
     both = asked.join(node, ["scope", "part"])
     if affinity is None:
         both = both.withColumn("weight", F.lit(0.5))
@@ -131,6 +137,69 @@ def rank_notes(requests: DataFrame, notes: DataFrame, as_of: str, affinity: Data
     return search._ranked(search._ranked(scored, k, "part").drop("part", "rank"), k)
 
 
+def _shared_words(rows: list, columns: list) -> np.ndarray:
+    """How many words each set of `rows` has in common with each of `columns`."""
+    place: dict[str, int] = {}
+    for x in rows:
+        for w in x:
+            place.setdefault(w, len(place))
+
+    def dense(sets: list) -> np.ndarray:
+        out = np.zeros((len(sets), max(1, len(place))), dtype=np.float32)
+        for i, x in enumerate(sets):
+            out[i, [place[w] for w in x if w in place]] = 1
+        return out
+
+    return (dense(rows) @ dense(columns).T).astype(np.float64)
+
+
+def _scored_pairs(asked: DataFrame, node: DataFrame, affinity: dict, k: int, slack: float) -> DataFrame:
+    """(request, id, kind, n_tokens, raw): of each request and part, the notes that may be among its k
+    best once scores are rounded. Requests are taken 256 at a time."""
+
+    def best(ask: pd.DataFrame, notes: pd.DataFrame) -> pd.DataFrame:
+        columns = ["request", "id", "kind", "n_tokens", "raw"]
+        if not len(ask) or not len(notes):
+            return pd.DataFrame({c: [] for c in columns}, dtype=object)
+        notes = notes.sort_values("id")
+        sets = lambda frame, c: [[] if x is None else x for x in frame[c]]
+        size = lambda x: np.array([len(y) for y in x], dtype=np.float64)
+        number = lambda c, other: notes[c].astype("float64").fillna(other).to_numpy()
+        w, m, t = (sets(notes, c) for c in "wmt")
+        kinds, kind_of = pd.factorize(notes["kind"], use_na_sentinel=False)
+        n_w, n_m = size(w), size(m)
+        ids, names, tokens = notes["id"].to_numpy(dtype=object), notes["kind"].to_numpy(dtype=object), notes["n_tokens"].to_numpy()
+        out = []
+        for first in range(0, len(ask), 256):
+            some = ask.iloc[first : first + 256]
+            q, stems = sets(some, "q"), sets(some, "stems")
+            n_q, both = size(q)[:, None], _shared_words(q, w)
+            weight = np.array([[affinity.get((i, x), 0.5) for x in kind_of] for i in some["intent"]])[:, kinds]
+            signals = {
+                "lexical": both / np.maximum(n_q + n_w - both, 1),
+                "module": _shared_words(stems, m) / np.maximum(n_m, 1),
+                "symbol": _shared_words(q, t) / np.maximum(n_q, 1),
+                "affinity": weight,
+                "tree": 1 / (1 + 0.2 * number("depth", 0)),
+                "importance": number("importance", 0.0),
+                "confidence": number("confidence", 0.0),
+                "fresh": number("fresh", 0.2),
+            }
+            raw = np.zeros((len(some), len(notes)))
+            for name, x in NOTE_WEIGHTS.items():
+                raw = raw + x * signals[name]
+            for request, row in zip(some["request"], raw):
+                at = search.best_places(row, k, slack)
+                out.append((request, at, row[at]))
+        at = np.concatenate([x[1] for x in out])
+        text = lambda x: pd.Series(x[at], dtype=object)
+        return pd.DataFrame({"request": np.repeat([x[0] for x in out], [len(x[1]) for x in out]), "id": text(ids), "kind": text(names), "n_tokens": tokens[at], "raw": np.concatenate([x[2] for x in out])})
+
+    types = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for df, c in ((asked, "request"), (node, "id"), (node, "kind"), (node, "n_tokens")))
+    left, right = (df.where("scope is not null").groupBy("scope", "part") for df in (asked, node))
+    return left.cogroup(right).applyInPandas(best, f"{types}, raw double")
+
+
 def note_pack(ranked: DataFrame, total: int = 6000) -> DataFrame:
     """Ranked notes that fit into their kind's share of `total` tokens, greedily: a note too large is
     skipped and smaller ones after it may still be taken. Decisions and incidents share a bucket; outcomes are in no pack."""
@@ -181,10 +250,10 @@ def with_parents(hits: DataFrame, links: DataFrame, summaries: DataFrame) -> Dat
     return own.distinct().unionByName(more.groupBy("request", "id").agg(F.max("how").alias("how")))
 
 
-def layered_search(layers: dict[str, DataFrame], requests: DataFrame, preferred: list[str], texts: DataFrame, k: int = 10, budget: int = 600, types: list[str] | None = None) -> DataFrame:
-    """Search over several layers at once (request, layer, id, score, rank, n_tokens).
+def layered_search(layers: dict[str, DataFrame], requests: DataFrame, preferred: list[str], texts: DataFrame, k: int = 10, budget: int = 600, types: list[str] | None = None, with_text: bool = False) -> DataFrame:
+    """Search over several layers at once (request, layer, id, score, rank, n_tokens, and text if asked for).
 
-    layers: postings with `lexical_terms` by name. Each layer gives its ten best texts; scores are
+    layers: texts (project_id, id, text) or postings with `lexical_terms` by name. Each layer gives its ten best texts; scores are
     scaled to 0..1 within request and layer (the best is 1), weighted with the layer's place among
     `preferred`, with whether a statement is of one of `types` (neutral for texts without a type, or
     without `types`), with the quality of the source's path, and with freshness. The 2k best are kept,
@@ -195,7 +264,7 @@ def layered_search(layers: dict[str, DataFrame], requests: DataFrame, preferred:
             texts = texts.withColumn(name, F.lit(None).cast("string"))
     hits = None
     for name, index in layers.items():
-        part = search.bm25(index, requests).select("request", F.lit(name).alias("layer"), "id", "score")
+        part = (search.bm25 if "term" in index.columns else search.bm25_texts)(index, requests).select("request", F.lit(name).alias("layer"), "id", "score")
         hits = part if hits is None else hits.unionByName(part)
     scaled = search.normalized_scores(hits, ["request", "layer"], "score", "norm").join(texts, ["layer", "id"])
     worth: Column = F.lit(OTHER_LAYER)
@@ -210,7 +279,7 @@ def layered_search(layers: dict[str, DataFrame], requests: DataFrame, preferred:
     unique = search.first_by_prefix(full, ["request"], "text", 150, order)
     taken = search.within_budget(unique, "request", order, "n_tokens", F.lit(budget), "overshoot").where("action = 'included'")
     ranked = taken.withColumn("rank", F.row_number().over(Window.partitionBy("request").orderBy(*order)))
-    return ranked.where(F.col("rank") <= k).select("request", "layer", "id", "score", "rank", "n_tokens")
+    return ranked.where(F.col("rank") <= k).select("request", "layer", "id", "score", "rank", "n_tokens", *(["text"] if with_text else []))
 
 
 def not_in_pack(hits: DataFrame, pack_texts: DataFrame, share: float = 0.7) -> DataFrame:

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ctxspark.functions.text import module_prefixes, request_terms, source_quality, terms
+from ctxspark.functions.text import lexical_terms, module_prefixes, request_terms, source_quality, terms
+from ctxspark.runtime import written
 
 
 def postings(texts: DataFrame, scope: str, id: str, text: str, words: Callable[[Column], Column] = terms) -> DataFrame:
@@ -49,6 +50,65 @@ def bm25(index: DataFrame, requests: DataFrame, k: int = 10, k1: float = 1.2, b:
     return _ranked(_ranked(scores, k, "part").select("request", "id", "score"), k)
 
 
+def best_places(raw: np.ndarray, k: int, slack: float) -> np.ndarray:
+    """Places that the k best of `raw` are among however scores are rounded within `slack`; of places
+    with the same value, ties go to the first, so that no more than k of them are kept."""
+    if len(raw) <= k:
+        return np.arange(len(raw))
+    some = np.flatnonzero(raw >= np.partition(raw, len(raw) - k)[len(raw) - k] - slack)
+    some = some[np.argsort(-raw[some], kind="stable")]
+    first = np.r_[True, np.diff(raw[some]) != 0]
+    begin = np.maximum.accumulate(np.where(first, np.arange(len(some)), 0))
+    return some[np.arange(len(some)) - begin < k]
+
+
+def bm25_texts(texts: DataFrame, requests: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75, slices: int = 8) -> DataFrame:
+    """As `bm25`, for the texts themselves (project_id, id, text; an id once) and any number of hits.
+
+    Of the texts' terms only those that are asked for in the scope leave the task that reads them (the
+    distinct ones, by scope, are sent to every task). A scope's texts lie in `slices` parts; a part's
+    postings and requests meet in one task, which adds up scores and hands on what may be among the k best."""
+    asked = requests.where("scope is not null").select("request", "scope", F.explode(request_terms(F.col("text"))).alias("term")).distinct()
+    wanted = asked.select("scope", "term").union(asked.select("scope", F.lit(""))).distinct()  # "" stands for the text itself
+    found = texts.select(F.col("project_id").alias("scope"), "id", lexical_terms(F.col("text")).alias("terms")).where(F.size("terms") > 0)
+    each = found.select("scope", "id", "terms", F.size("terms").alias("dl"), F.posexplode(F.concat("terms", F.array(F.lit("")))).alias("at", "term"))
+    kept = written(each.join(F.broadcast(wanted), ["scope", "term"], "left_semi").select("scope", "id", "dl", "term", ((F.col("term") == "") | (F.array_position("terms", F.col("term")) == F.col("at") + 1)).alias("once")))
+    counts = kept.where("once").groupBy("scope", "term").agg(F.count("*").alias("df"), F.sum("dl").alias("total"))
+    stats = counts.where("term = ''").select("scope", F.col("df").alias("n"), (F.col("total") / F.col("df")).alias("avgdl"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = counts.where("term <> ''").join(stats, "scope").select("scope", "term", "avgdl", F.when(idf > 0, idf).otherwise(1e-6).alias("idf"))
+    left = asked.join(weighed, ["scope", "term"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    right = kept.where("term <> ''").select("scope", F.pmod(F.xxhash64("id"), F.lit(slices)).cast("int").alias("part"), "id", "dl", "term")
+
+    def best(ask: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        if not len(ask) or not len(rows):
+            return pd.DataFrame({"request": [], "id": [], "score": []}, dtype=object)
+        ids, place = np.unique(rows["id"].to_numpy(dtype=object), return_inverse=True)
+        length = np.zeros(len(ids))
+        length[place] = rows["dl"]
+        term, names = pd.factorize(rows["term"])
+        at, tf = np.unique(term.astype(np.int64) * len(ids) + place, return_counts=True)
+        begin = np.searchsorted(at, np.arange(len(names) + 1) * len(ids))
+        at, known = at % len(ids), {t: i for i, t in enumerate(names)}
+        norm = k1 * (1 - b + b * length[at] / ask["avgdl"].iloc[0])
+        weight, out = tf * (k1 + 1) / (tf + norm), []
+        for request, own in ask.sort_values(["request", "term"]).groupby("request", sort=False):
+            total = np.zeros(len(ids))
+            for t, w in zip(own["term"], own["idf"]):
+                if t in known:
+                    run = slice(begin[known[t]], begin[known[t] + 1])
+                    total[at[run]] += w * weight[run]
+            some = np.flatnonzero(total)
+            some = some[best_places(total[some], k, 2e-6)]
+            out.append((request, some, total[some]))
+        at = np.concatenate([x[1] for x in out])
+        return pd.DataFrame({"request": np.repeat([x[0] for x in out], [len(x[1]) for x in out]), "id": pd.Series(ids[at], dtype=object), "score": np.concatenate([x[2] for x in out])})
+
+    kinds = {c: df.schema[c].dataType.simpleString() for df, c in ((requests, "request"), (texts, "id"))}
+    scores = left.groupBy("scope", "part").cogroup(right.groupBy("scope", "part")).applyInPandas(best, f"request {kinds['request']}, id {kinds['id']}, score double")
+    return _ranked(scores.select("request", "id", F.round("score", 6).alias("score")), k)
+
+
 def cosine_terms(index: DataFrame, requests: DataFrame, k: int = 10, slices: int = 16) -> DataFrame:
     """The k best texts of each request by the cosine of term counts (request, id, score, rank).
     Texts without a common term have the score 0 and are left out. Postings lie in parts as in `bm25`."""

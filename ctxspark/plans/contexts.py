@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ctxspark.functions.text import lexical_terms, token_estimate
+from ctxspark.functions.text import token_estimate
 from ctxspark.operators import context, search
 from ctxspark.operators.lifecycle import latest
 from ctxspark.plans.knowledge import _NODES, _nodes
 from ctxspark.plans.retrieval import _ASK, _LEX, _QUALITY, _STATES, _chunks, _requests
-from ctxspark.runtime import table
+from ctxspark.runtime import table, written
 
 AS_OF = "2024-09-01"
 
@@ -23,8 +23,8 @@ def _asked(spark: SparkSession, d: str) -> DataFrame:
     return docs.select(F.col("doc_id").alias("request"), F.col("project_id").alias("scope"), F.col("title").alias("text"), files.alias("files"), intent.alias("intent"), F.lit("main").alias("branch"))
 
 
-def _ranked(spark: SparkSession, d: str) -> DataFrame:
-    return context.rank_notes(_asked(spark, d), _nodes(spark, d), AS_OF, context.affinity_table(spark))
+def _ranked(spark: SparkSession, d: str, nodes: DataFrame | None = None) -> DataFrame:
+    return context.rank_notes(_asked(spark, d), _nodes(spark, d) if nodes is None else nodes, AS_OF, context.affinity_table(spark))
 
 
 def rank_on_branch(spark: SparkSession, d: str) -> DataFrame:
@@ -50,32 +50,37 @@ def compose_pack(spark: SparkSession, d: str) -> DataFrame:
     return context.note_pack(_ranked(spark, d), 1500)
 
 
-def _layers(spark: SparkSession, d: str) -> tuple[dict[str, DataFrame], DataFrame]:
+def _layers(spark: SparkSession, d: str, nodes: DataFrame | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """The layers' texts, written once, by name and together."""
+    nodes = _nodes(spark, d) if nodes is None else nodes
     owner = latest(table(spark, d, "documents").where("document_id is not null"), ["document_id"], [F.desc("created_at"), F.desc("doc_id")]).select("document_id", "project_id", "source_path")
     rows = table(spark, d, "raw_propositions").groupBy("document_id", "paragraph_index").agg(F.max("proposition_text").alias("text"), F.max("proposition_type").alias("type"))
     none = F.lit(None).cast("string")
     parts = {
         "proposition": rows.join(owner, "document_id").select(F.concat_ws("#", "document_id", F.col("paragraph_index").cast("string")).alias("id"), "project_id", "text", "type", "source_path"),
         "chunk": _chunks(spark, d).select(F.col("chunk_id").alias("id"), "project_id", F.col("content").alias("text"), none.alias("type"), "source_path"),
-        "summary": _nodes(spark, d).select("id", "project_id", F.col("summary").alias("text"), none.alias("type"), none.alias("source_path")),
+        "summary": nodes.select("id", "project_id", F.col("summary").alias("text"), none.alias("type"), none.alias("source_path")),
     }
-    texts = None
+    parts, texts = {name: written(part) for name, part in parts.items()}, None
     for name, part in parts.items():
         row = part.select(F.lit(name).alias("layer"), "id", "text", "type", "source_path")
         texts = row if texts is None else texts.unionByName(row)
-    return {name: search.postings(part, "project_id", "id", "text", lexical_terms) for name, part in parts.items()}, texts
+    return parts, texts
+
+
+def _layer_hits(spark: SparkSession, d: str, layers: dict[str, DataFrame], texts: DataFrame, with_text: bool = False) -> DataFrame:
+    return context.layered_search(layers, _requests(spark, d), ["proposition", "chunk"], texts, types=["constraint", "decision", "security_rule"], with_text=with_text)
 
 
 def layer_search(spark: SparkSession, d: str) -> DataFrame:
     """The best statements, chunks and summaries of each request under 600 tokens."""
-    layers, texts = _layers(spark, d)
-    return context.layered_search(layers, _requests(spark, d), ["proposition", "chunk"], texts, types=["constraint", "decision", "security_rule"])
+    return _layer_hits(spark, d, *_layers(spark, d))
 
 
 def expanded_hits(spark: SparkSession, d: str) -> DataFrame:
     """Hits of the layers with their parent statements, and with the readme of their path."""
-    _, texts = _layers(spark, d)
-    hits = layer_search(spark, d).join(texts.select("layer", "id", "source_path"), ["layer", "id"])
+    layers, texts = _layers(spark, d)
+    hits = _layer_hits(spark, d, layers, texts).join(texts.select("layer", "id", "source_path"), ["layer", "id"])
     rows = table(spark, d, "raw_propositions").groupBy("document_id", "paragraph_index").agg(F.min("parent_paragraph_index").alias("up"))
     key = lambda i: F.concat_ws("#", "document_id", F.col(i).cast("string"))
     links = rows.where("up is not null").select(key("paragraph_index").alias("id"), key("up").alias("parent"))
@@ -85,10 +90,11 @@ def expanded_hits(spark: SparkSession, d: str) -> DataFrame:
 
 def unified_pack(spark: SparkSession, d: str) -> DataFrame:
     """Notes under 60 % of 1,500 tokens, then search hits that repeat none of them under the rest."""
-    notes = context.note_pack(_ranked(spark, d), 900)
-    summaries = _nodes(spark, d).select("id", F.col("summary").alias("text"))
-    _, texts = _layers(spark, d)
-    hits = layer_search(spark, d).join(texts, ["layer", "id"])
+    wanted = ["id", "project_id", "kind", "title", "summary", "tags", "module_path", "depth", "importance", "confidence", "updated_at", "status"]
+    nodes = written(_nodes(spark, d).select(*wanted))
+    notes = written(context.note_pack(_ranked(spark, d, nodes), 900))
+    summaries = nodes.select("id", F.col("summary").alias("text"))
+    hits = written(_layer_hits(spark, d, *_layers(spark, d, nodes), with_text=True))
     fresh = context.not_in_pack(hits, notes.join(summaries, "id").select("request", "text"))
     taken = search.within_budget(fresh, "request", [F.col("rank")], "n_tokens", F.lit(600), "overshoot").where("action = 'included'")
     part = notes.select("request", F.lit("memory").alias("section"), "id", F.col("n_tokens").cast("int").alias("n_tokens"))
